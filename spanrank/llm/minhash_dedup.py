@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, chunks, flat
+from .common import Scratch, arrow_batch, chunks, flat, parts
 from .components import components
 from .shingles import MinHash, set_digest, shingle_sets
 
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     side = F.xxhash64("rep", F.lit(3))
     first = loose.join(sizes, "cluster").select("cluster", F.pmod(side, "a").cast("int").alias("i"), F.explode(F.expr("sequence(0, b - 1)")).alias("j"), F.col("rep").alias("u"), "text", F.lit(True).alias("loose"))
     second = members.join(sizes, "cluster").select("cluster", F.explode(F.expr("sequence(0, a - 1)")).alias("i"), F.pmod(side, "b").cast("int").alias("j"), F.col("rep").alias("u"), "text", F.lit(False).alias("loose"))
-    more = first.unionByName(second).groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent), "u long, v long")
+    more = first.unionByName(second).repartition(parts(spark), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent), "u long, v long")
 
     links = tested.where("linked").select("u", F.col("lead").alias("v")).unionByName(more)
     roots = components(links, scratch)
