@@ -284,15 +284,13 @@ def _compare(length: int):
     return run
 
 
-def _cover(ranges, length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by windows that start in the given (at, n) ranges."""
-    out: list[tuple[int, int]] = []
-    for at, n in sorted(ranges):
-        if out and at <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], at + n - 1 + length))
-        else:
-            out.append((at, at + n - 1 + length))
-    return out
+def _cover(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal byte runs covered by windows that start in the given ranges."""
+    order = np.argsort(at)
+    start, end = at[order], (at + n - 1 + length)[order]
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist()))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 4096) -> DataFrame:
@@ -335,13 +333,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 4096) -> DataF
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", 2 << 20):
             raw, off = flat(batch.column("text"))
             ranges = batch.column("_ranges")
+            values, edge = ranges.flatten(), np.cumsum(np.append(0, ranges.value_lengths().fill_null(0).to_numpy()))
+            where, count = values.field("at").to_numpy(), values.field("n").to_numpy().astype(np.int64)
             kept, spans = [], []
             for i in range(batch.num_rows):
                 text = raw[off[i] : off[i + 1]].tobytes()
-                runs = _cover([(x["at"], x["n"]) for x in ranges[i].as_py() or ()], length)
+                some = slice(edge[i], edge[i + 1])
+                runs = _cover(where[some], count[some], length) if edge[i + 1] > edge[i] else []
                 at, left = 0, []
                 for a, b in runs:
                     left.append(text[at:a])
