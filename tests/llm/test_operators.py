@@ -1,5 +1,6 @@
 """The other operators against brute force, round trips and held-out accuracy."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -245,10 +246,25 @@ def test_packing_odd_rows(spark):
 
 def test_encoder_equals_tokenizer():
     odd = ["", " ", "  a", "a  b", "a \n b", "x\u00a0 y", " lead", "tail ", "a\tb  \n\n c", "don't we'll 's", "été  Ünï ×÷ Ж ж", "<|endoftext|> x <|endoftext|>", "a" * 3000, "1 2 3  4", "a \u3000 b", "\x1c a \x1d b", "ÿ ɏ ɐ"]
-    got = packing.Encoder(queries.tokenizer_path(), cache=3).encode(odd)
+    encoder = packing.Encoder(queries.tokenizer_path())
+    assert encoder.fast
+    odd += [" " * 5000 + "x", "y" + "\n" * 3000, "".join(map(chr, range(1, 0x500)))]
+    got = [encoder.encode(t) for t in odd]
     assert [np.frombuffer(g, "<u2").tolist() + [0] for g in got] == whole_ids(odd)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_encoder_equals_tokenizer_on_any_text(text):
+    encoder = _encoder()
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _encoder():
+    return packing.Encoder(queries.tokenizer_path())
+
+
 def test_hilbert_neighbours_touch():
     bits, n = 3, 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n), -1).reshape(-1, n)
