@@ -9,6 +9,7 @@ holds related documents.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -60,13 +61,18 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        ranks = _ranks(path)
+        self.fast = ranks and tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def slow(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        ranks = _ranks(path)
-        self.fast = ranks and tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian 16-bit ids."""
@@ -75,6 +81,12 @@ class Encoder:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places on the Hilbert curve of integer points [point, dimension] of ``bits`` bits."""
     x = cells.astype(np.int64).T.copy()
@@ -118,10 +130,10 @@ _TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bucket", pa.
 
 def _tokenise(path: str, cuts: list[int], end: int = 0):
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         signs = np.random.default_rng(99).choice(np.array([-1.0, 1.0], np.float32), (DIMENSIONS, 1 << 16))
         for batch in chunks(batches, "text"):
-            ids = [encoder.encode(t or "") + end.to_bytes(2, "little") for t in batch.column("text").to_pylist()]
+            ids = [encode(t or "") + end.to_bytes(2, "little") for t in batch.column("text").to_pylist()]
             flat = np.frombuffer(b"".join(ids), "<u2")
             key = _keys(flat, np.cumsum([0, *(len(x) // 2 for x in ids)]), signs)
             bucket = np.searchsorted(np.array(cuts, np.int64), key, side="right")
