@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import Scratch, chunks
 
 BINS = 1 << 16
 UNKNOWN = "und"
@@ -120,7 +120,7 @@ def fit(train: DataFrame, max_langs: int = 256) -> Mixture | None:
     All rows count.  The ``max_langs`` languages with the most n-grams are
     learned, so what reaches the driver has a fixed bound.
     """
-    table = count_bins(train.where("lang IS NOT NULL AND text IS NOT NULL"))
+    table = Scratch(train.sparkSession, "language").save(count_bins(train.where("lang IS NOT NULL AND text IS NOT NULL")))
     sums = table.groupBy("lang").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "lang").limit(max_langs).collect()
     langs = sorted(r.lang for r in sums)
     if not langs:
