@@ -114,9 +114,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = sorted((r.bucket, r.top) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())  # a row for each bucket
     if not heads:
         return rows.withColumn("ghost", F.lit(False))
-    ghost = F.lit(None).cast("int")
-    for i, (bucket, top) in enumerate(heads):
-        ghost = F.when((F.col("bucket") == bucket) & F.col("doc_id").eqNullSafe(F.lit(top).cast("long")), heads[i - 1][0]).otherwise(ghost)
+    before = [(bucket, top, heads[i - 1][0]) for i, (bucket, top) in enumerate(heads)]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(before, "bucket int, top long, before int")), "bucket")
+    ghost = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.col("before"))
     to = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")), F.struct(ghost.alias("b"), F.lit(True).alias("g")))
     sent = rows.select("doc_id", "text", F.explode(F.filter(to, lambda x: x["b"].isNotNull())).alias("t"))
     return sent.select("doc_id", "text", F.col("t.b").alias("bucket"), F.col("t.g").alias("ghost"))
