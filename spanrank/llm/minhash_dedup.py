@@ -148,9 +148,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sizes = loose.groupBy("cluster").agg(F.count("*").alias("n_loose"))
     sizes = sizes.join(members.groupBy("cluster").agg(F.count("*").alias("n_all")), "cluster")
     sizes = sizes.select("cluster", F.ceil(F.col("n_loose") / block).cast("int").alias("a"), F.ceil(F.col("n_all") / (4 * block)).cast("int").alias("b"))
+    # a hot cluster is dealt over several tasks here, and over its block pairs afterwards
+    salt = F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(32)).cast("int").alias("salt")
+    sizes = sizes.withColumn("salt", F.explode(F.expr("sequence(0, 31)")))
+    loose, members = loose.select("*", salt), members.select("*", salt)
     side = F.xxhash64("rep", F.lit(3))
-    first = loose.join(sizes, "cluster").select("cluster", F.pmod(side, "a").cast("int").alias("i"), F.explode(F.expr("sequence(0, b - 1)")).alias("j"), F.col("rep").alias("u"), "text", F.lit(True).alias("loose"))
-    second = members.join(sizes, "cluster").select("cluster", F.explode(F.expr("sequence(0, a - 1)")).alias("i"), F.pmod(side, "b").cast("int").alias("j"), F.col("rep").alias("u"), "text", F.lit(False).alias("loose"))
+    first = loose.join(sizes, ["cluster", "salt"]).select("cluster", F.pmod(side, "a").cast("int").alias("i"), F.explode(F.expr("sequence(0, b - 1)")).alias("j"), F.col("rep").alias("u"), "text", F.lit(True).alias("loose"))
+    second = members.join(sizes, ["cluster", "salt"]).select("cluster", F.explode(F.expr("sequence(0, a - 1)")).alias("i"), F.pmod(side, "b").cast("int").alias("j"), F.col("rep").alias("u"), "text", F.lit(False).alias("loose"))
     more = first.unionByName(second).repartition(parts(spark), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent), "u long, v long")
 
     links = tested.where("linked").select("u", F.col("lead").alias("v")).unionByName(more)
