@@ -15,9 +15,9 @@ them) at anchors of equal grams.  About one byte in fifty is an anchor.
    whole.  Grams with several different domains are left for comparison, one
    request for each domain.
 3. The requested suffixes are fetched from the texts, range-partitioned by
-   sampled splitters on their leading bytes and sorted in their bucket by
-   multikey quicksort.  Equal leading bytes never straddle two buckets, so runs
-   of equal grams are whole.  In a run the windows are compared exactly.  The
+   sampled splitters on their leading gram and sorted in their bucket by
+   multikey quicksort.  Equal grams never straddle two buckets, so their runs
+   are whole.  In a run the windows are compared exactly.  The
    windows of grams with very many domains are compared by 128-bit hashes
    instead, which spreads them over all tasks.
 4. The windows that repeat are joined to the texts and their bytes removed.
@@ -206,7 +206,7 @@ def _fetch(length: int, hot: int):
                         rows += [(None, key, at + i, 1, 0, None, a, b) for i, (a, b) in enumerate(zip(*hashed))]
                     else:
                         string = raw[at : at + n - 1 + length].tobytes()
-                        rows.append((string[o : o + 16], key, at, n, o, string, None, None))
+                        rows.append((string[o : o + length // 2], key, at, n, o, string, None, None))
             if rows:
                 yield arrow_batch(_SUFFIX, [list(c) for c in zip(*rows)])
 
@@ -293,7 +293,7 @@ def _cover(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist()))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataFrame:
     """Every row of docs with ``kept`` binary and ``spans`` array<struct<start long, end long>>.
 
     Removed is each byte of the UTF-8 text that a ``length``-byte string covers

@@ -114,7 +114,7 @@ def test_op5_equals_brute_force(spark):
 def test_remove_repeats_odd_rows(spark):
     d = with_oddities(spark).withColumn("kept", F.lit(1)).withColumn("spans", F.lit(2))
     rows = d.select("doc_id", "text").collect()
-    for length, hot in ((200, 4096), (30, 4096), (30, 1)):
+    for length, hot in ((200, 1024), (30, 1024), (30, 1)):
         want = Counter((r.text, k) for r, (k, _, _) in zip(rows, brute_kept([r.text for r in rows], length)))
         got = remove_repeats(d, length, hot).collect()
         assert Counter((r.text, bytes(r.kept)) for r in got) == want
