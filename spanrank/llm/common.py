@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Chunk of UTF-8 text handled at once by a Python task; bounds its memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _roots: dict[str, str] = {}
 

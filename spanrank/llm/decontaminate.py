@@ -162,7 +162,7 @@ def _scan_block(names: list[str], block, width: int):
 
     def run(batches):
         automaton = SuffixAutomaton(block.value, width)
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             raw, off = flat(batch.column("text"))
             raw = raw.tobytes()
             n, hits, items = [], [], []
@@ -226,7 +226,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_words:
     fields = docs.schema.fields
 
     def run(batches):
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             hits = batch.column("hits").to_pylist()
             text = batch.column("text")
             columns = {n: batch.column(n) for n in names}

@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataF
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             raw, off = flat(batch.column("text"))
             ranges = batch.column("_ranges")
             values, edge = ranges.flatten(), np.cumsum(np.append(0, ranges.value_lengths().fill_null(0).to_numpy()))
