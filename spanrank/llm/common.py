@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -88,6 +89,22 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers wait for their next task with little of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch, of which several are in memory at once on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def chunks(batches, column: str, limit: int = CHUNK_BYTES):
     """Slices of the batches that hold about ``limit`` bytes of ``column``, a row at least."""
     for batch in batches:
@@ -101,6 +118,7 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, flat, hidden
+from .common import chunks, flat, hidden, small_batches
 
 # Word bytes stay (A-Z folded), every other byte is a blank; bytes above 7F are word bytes.
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -188,6 +188,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_w
     ignored.  Columns of docs named n_words, hits or items are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_words", "hits", "items")
     names = docs.columns
     blocks = item_blocks(items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text"), max_words) or [[]]

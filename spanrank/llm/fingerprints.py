@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Poly, arrow_batch, parts
+from .common import Poly, arrow_batch, parts, small_batches
 
 _GEAR = np.random.default_rng(424242).integers(0, 1 << 32, 256, dtype=np.uint32)
 _POLY = Poly(5150)
@@ -165,5 +165,6 @@ def fingerprint_edits(docs: DataFrame, least: int = 16, normal: int = 48, most:
         if rows:
             yield arrow_batch(_OUT, [list(c) for c in zip(*rows)])
 
+    small_batches(docs.sparkSession)
     rows = with_next(docs).repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "text")
     return rows.select("bucket", "ghost", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

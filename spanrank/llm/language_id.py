@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks
+from .common import Scratch, chunks, small_batches
 
 BINS = 1 << 16
 UNKNOWN = "und"
@@ -50,6 +50,7 @@ def _letter(text: str | None) -> bool:
 
 def count_bins(train: DataFrame) -> DataFrame:
     """(lang, bin, n) over all rows of train(text, lang): task-local sums, then a distributed sum."""
+    small_batches(train.sparkSession)
     schema = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -141,6 +142,7 @@ def predict(docs: DataFrame, model: Mixture | None, keep: list[str] | None = Non
     """
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", "mixture")]
     docs = docs.select(*dict.fromkeys([*names, "text"]))
+    small_batches(docs.sparkSession)
     box = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.map_(pa.string(), pa.float64())
 

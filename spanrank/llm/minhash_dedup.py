@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, chunks, flat, parts
+from .common import Scratch, arrow_batch, chunks, flat, parts, small_batches
 from .components import components
 from .shingles import MinHash, set_digest, shingle_sets
 
@@ -122,6 +122,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     table gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     slim = scratch.save(sketch(docs, words, bands, rows))
     full = slim.where("digest IS NOT NULL AND doc_id IS NOT NULL")

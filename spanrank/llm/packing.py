@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, chunks, parts
+from .common import arrow_batch, chunks, parts, small_batches
 
 DIMENSIONS, BITS = 3, 10
 _BLANKS = re.compile(r"\s{2000}")
@@ -156,6 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, sample_rows:
     separately, ties of the key are broken by doc_id and ids, null ids first.
     No rows: none; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     n = parts(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.select("doc_id").count()

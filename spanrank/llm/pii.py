@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, hidden
+from .common import Scratch, chunks, hidden, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,6 +107,7 @@ def unseen(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 def edges(docs: DataFrame) -> DataFrame:
     """(pattern, instance, seed) of every context of every seed and unseen instance, repeated as they occur."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("pattern", pa.string()), ("instance", pa.int64()), ("seed", pa.bool_())])
 
     def run(batches):
@@ -160,6 +161,7 @@ def find_spans(docs: DataFrame, patterns: list[str]) -> DataFrame:
     """
     docs = docs.drop("base_spans", "spans")
     names = docs.columns
+    small_batches(docs.sparkSession)
     box = docs.sparkSession.sparkContext.broadcast(frozenset(patterns))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 

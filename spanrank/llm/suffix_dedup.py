@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Poly, Scratch, arrow_batch, chunks, flat, mix, parts
+from .common import Poly, Scratch, arrow_batch, chunks, flat, mix, parts, small_batches
 
 _MASK = np.uint64((1 << 22) - 1)
 _ONE, _TWO = Poly(11), Poly(12)
@@ -305,6 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataF
     columns pass through; columns named kept or spans are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "suffix")
     docs = docs.drop("kept", "spans")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
