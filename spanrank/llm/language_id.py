@@ -29,19 +29,24 @@ _BLANK[:97] = _BLANK[123:128] = 32
 def _bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the trigrams of all texts, one after the other, and each text's offsets into them.
 
-    Runs of bytes that are no letters count as one blank, and a text ends with two of them.
+    Runs of bytes that are no letters count as one blank. A text begins with a
+    blank and ends with two; its last two places, of which the trigrams would
+    reach into the next text, are bin 0.
     """
     raw = [b" " + t.lower().encode() + b"  " for t in texts]
     data = _BLANK[np.frombuffer(b"".join(raw), np.uint8)]
     ends = np.cumsum([len(r) for r in raw])
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    keep[ends[:-1]] = True
     keep[ends - 1] = True
     x = data[keep].astype(np.uint32)
     offsets = np.concatenate([[0], np.cumsum(keep)[ends - 1]])
     h = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:] if len(x) > 2 else x[:0]
     h = (h * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    return np.concatenate([h, np.zeros(min(2, len(x)), np.uint32)]), offsets
+    h = np.concatenate([h, np.zeros(min(2, len(x)), np.uint32)])
+    h[offsets[1:] - 1] = h[offsets[1:] - 2] = 0
+    return h, offsets
 
 
 def _letter(text: str | None) -> bool:

@@ -38,6 +38,10 @@ def test_language_mixture_and_odd_rows(spark):
     assert [got[i].lang_pred for i in (0, 1, 2, 3, 4)] == ["und", "und", "und", "en", "fr"]
     assert got[6].lang_pred in ("en", "fr") and set(got[3].mixture) == {"en"}
     assert abs(got[5].mixture["en"] - 0.5) < 0.15 and set(got[5].mixture) == {"en", "fr"}
+    texts = [t for _, t in rows if t is not None] + ["Zé x", "q", ""]
+    bins, at = language_id._bins(texts)
+    for i, t in enumerate(texts):  # a text's trigrams don't depend on its neighbours
+        assert bins[at[i] : at[i + 1]].tolist() == language_id._bins([t])[0].tolist()
     none = language_id.fit(train.limit(0))
     assert none is None and language_id.predict(train, none).where("lang_pred <> 'und'").count() == 0
     assert language_id.identify(docs(spark).limit(0)).count() == 0
