@@ -1,8 +1,9 @@
 """Sequence packing along a space-filling curve.
 
 Documents are tokenised once.  Their token counts are projected to a few
-dimensions by hashed signs, the place on a Hilbert curve through that space is
-the sort key, and the documents of a range of keys are laid end to end and cut
+dimensions by hashed signs, and the place on a Hilbert curve through that space
+is the sort key.  A hash of the doc_id stands behind it, so that a large group
+of like texts spreads over many ranges.  Then the documents of a range of keys are laid end to end and cut
 every 1,024 tokens.  Neighbours on the curve share vocabulary, so a sequence
 holds related documents.
 """
@@ -21,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, chunks, parts, small_batches
+from .common import arrow_batch, chunks, mix, parts, small_batches
 
 DIMENSIONS, BITS = 3, 10
 _BLANKS = re.compile(r"\s{2000}")
@@ -128,6 +129,12 @@ def _keys(ids: np.ndarray, offsets: np.ndarray, signs: np.ndarray) -> np.ndarray
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
 
+def _spread(key: np.ndarray, doc_id: pa.Array) -> np.ndarray:
+    """Sort keys: the place on the curve above 32 bits of a hash of the doc_id."""
+    ids = doc_id.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (key << 32) | (mix(ids + np.uint64(1)) >> np.uint64(32)).astype(np.int64)
+
+
 def _tokenise(path: str, cuts: list[int], end: int = 0):
     def run(batches):
         encode = encoder(path).encode
@@ -135,7 +142,7 @@ def _tokenise(path: str, cuts: list[int], end: int = 0):
         for batch in chunks(batches, "text"):
             ids = [encode(t or "") + end.to_bytes(2, "little") for t in batch.column("text").to_pylist()]
             flat = np.frombuffer(b"".join(ids), "<u2")
-            key = _keys(flat, np.cumsum([0, *(len(x) // 2 for x in ids)]), signs)
+            key = _spread(_keys(flat, np.cumsum([0, *(len(x) // 2 for x in ids)]), signs), batch.column("doc_id"))
             bucket = np.searchsorted(np.array(cuts, np.int64), key, side="right")
             yield arrow_batch(_TOKENS, [batch.column("doc_id"), key, bucket.astype(np.int32), ids])
 
@@ -153,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, sample_rows:
     16-bit token ids.  Sequences are full but for the last of each task.  Range
     splitters come from at most about ``sample_rows`` rows; all rows are packed.
     Null or empty texts are the end token alone.  Equal rows are packed
-    separately, ties of the key are broken by doc_id and ids, null ids first.
+    separately, ties on the curve are broken by a hash of doc_id, doc_id and ids.
     No rows: none; other columns are not read.
     """
     small_batches(docs.sparkSession)
