@@ -154,6 +154,17 @@ def item_blocks(items: DataFrame, max_words: int) -> list[list[tuple]]:
     return blocks
 
 
+_built: list = [None, None]
+
+
+def _automaton(block, width: int) -> SuffixAutomaton:
+    """The automaton of a broadcast block; a worker process builds it once for all its tasks and keeps one."""
+    if _built[0] != (block, width):
+        _built[:] = [None, None]
+        _built[:] = [(block, width), SuffixAutomaton(block.value, width)]
+    return _built[1]
+
+
 _SCHEMA = "n_words long, hits array<struct<start:long,end:long>>, items array<long>"
 
 
@@ -161,7 +172,7 @@ def _scan_block(names: list[str], block, width: int):
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        automaton = SuffixAutomaton(block.value, width)
+        automaton = _automaton(block, width)
         for batch in chunks(batches, "text", 1 << 20):
             raw, off = flat(batch.column("text"))
             raw = raw.tobytes()
