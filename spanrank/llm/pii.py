@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from .common import Scratch, chunks, hidden, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
+#: Patterns that are broadcast at most; a longer list is joined.
+LISTED = 100_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # The look-behind changes no match: a failing start fails for all of its digit run.
@@ -127,18 +129,16 @@ def edges(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pattern string, instance long, seed boolean")
 
 
-def learn_patterns(docs: DataFrame, rounds: int = 3, threshold: float = 0.8, support: int = 5, share: float = 1e-5) -> list[str]:
-    """Patterns of confidence ``threshold`` or more over all rows.
+def learn_patterns(docs: DataFrame, rounds: int = 3, threshold: float = 0.8, support: int = 5, listed: int = LISTED) -> list[str] | DataFrame:
+    """Patterns of confidence ``threshold`` or more over all rows that have ``support`` distinct instances.
 
-    A pattern needs ``support`` distinct instances and at least ``share`` of
-    all edges, so at most 1 / share patterns exist: what is collected and
-    broadcast has that bound whatever the input.
+    Up to ``listed`` patterns are collected.  More of them stay a table
+    (pattern) in the scratch folder, so what reaches the driver has a bound
+    and no pattern is lost to it.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     graph = scratch.save(edges(docs).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    total = graph.count()
-    least = max(support, int(share * total) + 1)
-    often = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    often = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     graph_ = scratch.save(graph.join(often, "pattern"))
     belief = graph_.select("pattern", "instance", "n", F.col("seed").cast("double").alias("c"), "seed")
     patterns = None
@@ -150,19 +150,56 @@ def learn_patterns(docs: DataFrame, rounds: int = 3, threshold: float = 0.8, sup
         told = graph_.where("NOT seed").join(patterns.where(F.col("conf") >= threshold / 2), "pattern")
         told = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf") * 0.9)))).alias("conf"))
         belief = graph_.join(told, "instance", "left").select("pattern", "instance", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))).alias("c"), "seed")
-    return sorted(r.pattern for r in patterns.where(F.col("conf") >= threshold).select("pattern").collect())
+    sure = scratch.save(patterns.where(F.col("conf") >= threshold).select("pattern"))
+    if sure.count() > listed:
+        return sure
+    return sorted(r.pattern for r in sure.collect())
 
 
-def find_spans(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def _told_by_table(docs: DataFrame, patterns: DataFrame, key: str, more: str) -> DataFrame:
+    """docs with ``more``: the unseen spans, as (start, kind index, end), that the table of patterns marks.
+
+    Spans depend on the text alone, so a digest of it is the key and equal
+    texts are looked up once.  Texts without a digit or ``@`` have no
+    candidates and aren't dealt anew.
+    """
+    schema = pa.schema([("key", pa.string()), ("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())])
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            rows = []
+            for name, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                rows += [(name, a, kind, b, p) for a, kind, b in unseen(text, base_spans(text)) for p in _contexts(text, kind, a, b)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    text = F.col("text").cast("string")
+    able = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
+    asked = docs.where(able).select(F.sha2(text, 256).alias("key"), text.alias("text"))
+    asked = asked.mapInArrow(run, "key string, start long, kind long, end long, pattern string").distinct()
+    told = asked.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    told = told.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("start", "kind", "end")).alias(more))
+    told = Scratch(docs.sparkSession, "pii").save(told)
+    found = docs.where(able).withColumn(key, F.sha2(text, 256)).join(told, key, "left").select(*docs.columns, more)
+    return found.unionByName(docs.where(~able).withColumn(more, F.lit(None).cast(told.schema[more].dataType)))
+
+
+def find_spans(docs: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
     """docs with base_spans and spans: arrays of (start, kind, end) in code points, by start, then kind.
 
-    spans holds the base spans and those that the patterns add.  Null or empty
-    texts have none.  Columns of these names are replaced; others pass through.
+    spans holds the base spans and those that the patterns, a list or a table
+    (pattern), add.  Null or empty texts have none.  Columns of these names are
+    replaced; others pass through.
     """
     docs = docs.drop("base_spans", "spans")
+    fields = docs.schema.fields
+    docs = hidden(docs, "text")[0]
     names = docs.columns
     small_batches(docs.sparkSession)
-    box = docs.sparkSession.sparkContext.broadcast(frozenset(patterns))
+    joined = isinstance(patterns, DataFrame)
+    box = docs.sparkSession.sparkContext.broadcast(frozenset(() if joined else patterns))
+    if joined:
+        docs = _told_by_table(docs, patterns, "_key", "_more")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def listed(spans):
@@ -172,18 +209,24 @@ def find_spans(docs: DataFrame, patterns: list[str]) -> DataFrame:
         known = box.value
         for batch in chunks(batches, "text"):
             base_column, all_column = [], []
-            for text in batch.column("text").to_pylist():
+            told = batch.column("_more").to_pylist() if joined else None
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 base = base_spans(text) if text else []
-                more = [x for x in unseen(text, base) if any(p in known for p in _contexts(text, x[1], x[0], x[2]))] if text and known else []
+                if joined:
+                    more = [(s["start"], s["kind"], s["end"]) for s in told[i] or []]
+                else:
+                    more = [x for x in unseen(text, base) if any(p in known for p in _contexts(text, x[1], x[0], x[2]))] if text and known else []
                 base_column.append(listed(base))
                 all_column.append(listed(sorted(base + more)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(base_column, kind), pa.array(all_column, kind)], names=[*names, "base_spans", "spans"])
 
     span = T._parse_datatype_string("array<struct<start:long,kind:string,end:long>>")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("base_spans", span), T.StructField("spans", span)]))
+    more = [T.StructField("base_spans", span), T.StructField("spans", span)]
+    found = docs.mapInArrow(run, T.StructType([*(T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, fields)), *more]))
+    return found.toDF(*[f.name for f in fields], "base_spans", "spans")
 
 
-def redact(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def redact(docs: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
     """docs with every span of its texts replaced by its kind, such as ``[EMAIL]``.
 
     Overlapping spans become one, of the kind of the first.  n_chars, if

@@ -325,6 +325,25 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert pii.learn_patterns(d.limit(0)) == [] and pii.redact(d.limit(0).drop("spans"), []).count() == 0
 
 
+def test_unrelated_rows_take_no_pattern_away(spark):
+    rows = [*[f"please mail to user{i}@example.com now" for i in range(5)], "please mail to user9@localhost now"]
+    few = docs(spark, rows)
+    noise = spark.range(310_000).select(F.concat(F.lit("some noise "), F.col("id") + 10_000_000, F.lit(" here")).alias("text"))
+    patterns = pii.learn_patterns(few.select("text"))
+    assert "email|mail to|" in patterns and pii.learn_patterns(few.select("text").unionByName(noise)) == patterns
+
+
+def test_pattern_table_finds_what_the_list_finds(spark):
+    rows = [*[f"text {i} call me at +1 (555) 010-{1000 + i} today" for i in range(12)], "please call me at 555 010 7777 today", "please call me at 555 010 7777 today", "a me at 555 010 8888 b me at 555 010 9999 today", None, "", "no digits", "number 20240101123 now"]
+    d = with_oddities(spark).unionByName(docs(spark, rows)).withColumns({"_key": F.lit("k"), "_more": F.lit(2), "_c0": F.lit(3)})
+    patterns, table = pii.learn_patterns(d), pii.learn_patterns(d, listed=0)
+    assert sorted(r.pattern for r in table.collect()) == patterns and patterns
+    one, two = pii.find_spans(d, patterns), pii.find_spans(d, table)
+    assert one.schema == two.schema and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert sum(len(r.spans) > len(r.base_spans) for r in two.collect()) == 3
+    assert sorted(map(repr, pii.redact(d, patterns).collect())) == sorted(map(repr, pii.redact(d, table).collect()))
+
+
 # ---- 9 sharding
 
 def test_op9_laws(spark):
