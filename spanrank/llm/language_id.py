@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,36 +83,56 @@ def count_bins(train: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """Class likelihoods of the learned languages, and inference with them."""
+    """Class likelihoods of the learned languages, and inference with them.
 
-    def __init__(self, langs: list[str], counts: np.ndarray, smooth: float = 0.5, grid: int = 8, rounds: int = 12, largest: int = 4):
-        self.langs, self.rounds, self.largest = langs, rounds, min(largest, max(1, len(langs)))
-        p = (counts + smooth) / (counts + smooth).sum(axis=1, keepdims=True)
-        share = p / p.sum(axis=0)
+    counts has the bins of each language and the n-grams in them.
+    """
+
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], smooth: float = 0.5, grid: int = 8, rounds: int = 12):
+        self.langs, self.rounds = langs, rounds
+
+        def likelihood(i: int) -> np.ndarray:
+            row = np.zeros(BINS)
+            row[counts[i][0]] = counts[i][1]
+            return (row + smooth) / (row + smooth).sum()
+
+        total = np.zeros(BINS)
+        for i in range(len(langs)):
+            total += likelihood(i)
         # classes of bins with like shares; a class's likelihood is the sum over its bins
-        profile = np.round(share * grid).astype(np.int16)
-        _, of_bin = np.unique(profile, axis=1, return_inverse=True)
+        of_bin = np.zeros(BINS, np.int64)
+        for i in range(len(langs)):
+            _, of_bin = np.unique(of_bin * (grid + 1) + np.round(likelihood(i) / total * grid).astype(np.int64), return_inverse=True)
         self.of_bin = of_bin.reshape(-1).astype(np.int32)
         k = int(self.of_bin.max()) + 1
-        self.p = np.stack([np.bincount(self.of_bin, weights=row, minlength=k) for row in p])
+        self.p = np.stack([np.bincount(self.of_bin, weights=likelihood(i), minlength=k) for i in range(len(langs))])
 
     def infer(self, hist: np.ndarray) -> np.ndarray:
-        """Proportions [document, language] of histograms [document, class]."""
+        """Proportions [document, language] of histograms [document, class].
+
+        The set of languages grows until the penalty of a further one exceeds
+        all that the likelihood can still gain: no larger set can be better.
+        """
         n = np.maximum(hist.sum(axis=1, keepdims=True), 1)
         every = self._em(hist, n, np.full((len(hist), len(self.langs)), 1 / len(self.langs)))
         rank = np.argsort(np.argsort(-every, axis=1, kind="stable"), axis=1, kind="stable")
-        best, best_score = None, None
-        for m in range(1, self.largest + 1):
-            start = np.where(rank < m, np.maximum(every, 1e-6), 0)
+        # by concavity no mixture of any languages has a greater likelihood than this
+        f = np.maximum(every @ self.p, 1e-300)
+        reach = (hist * np.log(f)).sum(axis=1)
+        reach += n[:, 0] * np.log(np.maximum(((hist / f) @ self.p.T).max(axis=1) / n[:, 0], 1e-300)) + 1e-9 * np.abs(reach)
+        best, best_score = np.zeros_like(every), np.full(len(hist), -np.inf)
+        at = np.arange(len(hist))
+        for m in range(1, len(self.langs) + 1):
+            start = np.where(rank[at] < m, np.maximum(every[at], 1e-6), 0)
             mix = start / start.sum(axis=1, keepdims=True)
             if m > 1:
-                mix = self._em(hist, n, mix)
-            score = (hist * np.log(np.maximum(mix @ self.p, 1e-300))).sum(axis=1) - 0.5 * (m - 1) * np.log(n[:, 0])
-            if best is None:
-                best, best_score = mix, score
-            else:
-                better = score > best_score
-                best[better], best_score[better] = mix[better], score[better]
+                mix = self._em(hist[at], n[at], mix)
+            score = (hist[at] * np.log(np.maximum(mix @ self.p, 1e-300))).sum(axis=1) - 0.5 * (m - 1) * np.log(n[at, 0])
+            better = score > best_score[at]
+            best[at[better]], best_score[at[better]] = mix[better], score[better]
+            at = at[reach[at] - 0.5 * m * np.log(n[at, 0]) > best_score[at]]
+            if not len(at):
+                break
         return best
 
     def _em(self, hist: np.ndarray, n: np.ndarray, mix: np.ndarray) -> np.ndarray:
@@ -120,21 +141,23 @@ class Mixture:
         return mix
 
 
-def fit(train: DataFrame, max_langs: int = 256) -> Mixture | None:
+def fit(train: DataFrame, block: int = 64) -> Mixture | None:
     """A model of the rows of train(text, lang) with lang; None if there are none.
 
-    All rows count.  The ``max_langs`` languages with the most n-grams are
-    learned, so what reaches the driver has a fixed bound.
+    All rows and all languages count.  Counts reach the driver by ``block``
+    languages at a time; what it holds grows with the languages, by 65,536 bins
+    each at most, and not with the rows.
     """
     table = Scratch(train.sparkSession, "language").save(count_bins(train.where("lang IS NOT NULL AND text IS NOT NULL")))
-    sums = table.groupBy("lang").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "lang").limit(max_langs).collect()
-    langs = sorted(r.lang for r in sums)
+    langs = sorted(r.lang for r in table.select("lang").distinct().collect())
     if not langs:
         return None
-    got = table.where(F.col("lang").isin(langs)).toArrow()
-    counts = np.zeros((len(langs), BINS))
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts[[at[x] for x in got.column("lang").to_pylist()], got.column("bin").to_numpy()] = got.column("n").to_numpy()
+    counts = []
+    for a in range(0, len(langs), block):
+        got = table.where(F.col("lang").isin(langs[a : a + block])).toArrow()
+        for lang in langs[a : a + block]:
+            mine = got.filter(pc.equal(got.column("lang"), lang))
+            counts.append((mine.column("bin").to_numpy(), mine.column("n").to_numpy()))
     return Mixture(langs, counts)
 
 
@@ -162,8 +185,9 @@ def predict(docs: DataFrame, model: Mixture | None, keep: list[str] | None = Non
                 h, off = _bins([texts[i] for i in where])
                 c = model.of_bin[h]
                 k = model.p.shape[1]
-                for a in range(0, len(where), 1024):
-                    some = where[a : a + 1024]
+                step = min(1024, max(1, (1 << 22) // max(k, len(model.langs))))
+                for a in range(0, len(where), step):
+                    some = where[a : a + step]
                     hist = np.stack([np.bincount(c[off[a + i] : off[a + i + 1]], minlength=k) for i in range(len(some))]).astype(np.float64)
                     for i, p in zip(some.tolist(), model.infer(hist)):
                         top = int(p.argmax())

@@ -47,6 +47,21 @@ def test_language_mixture_and_odd_rows(spark):
     assert language_id.identify(docs(spark).limit(0)).count() == 0
 
 
+def test_every_label_is_learned_and_mixtures_may_be_large(spark):
+    word = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(2)) * 2
+    train = spark.createDataFrame([(f"{word(i)} " * (100 if i else 90), f"l{i:03d}") for i in range(260)], "text string, lang string")
+    model = language_id.fit(train)
+    assert len(model.langs) == 260
+    (r,) = language_id.predict(spark.createDataFrame([(f"{word(0)} " * 50,)], "text string"), model).collect()
+    assert r.lang_pred == "l000" and r.score > 0.9
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    said = [" ".join(a + b + c for a in x for b in x for c in x) + " " for x in letters]
+    model = language_id.fit(spark.createDataFrame([(s * 40, x) for s, x in zip(said, letters)], "text string, lang string"))
+    rows = [("".join(said[:m]) * 5,) for m in range(1, 7)]
+    got = [r.mixture for r in language_id.predict(spark.createDataFrame(rows, "text string"), model).collect()]
+    assert [set(g) for g in got] == [set(letters[:m]) for m in range(1, 7)] and all(abs(p - 1 / 6) < 0.05 for p in got[5].values())
+
+
 # ---- 2 chat formatting
 
 def brute_chat(rows):
