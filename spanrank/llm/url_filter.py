@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow_batch, small_batches
 from .components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,12 +39,62 @@ def canonical_url(url: Column) -> Column:
     return F.when(query != "", F.concat(place, F.lit("?"), query)).otherwise(place)
 
 
-def link_targets(html: Column) -> Column:
-    """Addresses of canonical links, og:url and meta refreshes of a page, in order."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
+_CLEAR = re.compile(r"(?i)(?:href|url|content)\s*=\s*[\"']?\s*(?:[0-9.]+\s*;\s*url\s*=\s*)?[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)")
+_VALUE = r"(?i)(?<![\w-]){}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_HREF, _CONTENT = re.compile(_VALUE.format("href")), re.compile(_VALUE.format("content"))
+_REFRESH = re.compile(r"(?i)http-equiv\s*=\s*[\"']?refresh\b")
+_DELAY = re.compile(r"(?i)\s*[0-9.]+\s*[;,]\s*(?:url\s*=\s*)?[\"']?\s*([^\"'\s]+)")
+_AMP = re.compile(r"(?i)&(?:amp|#0*38|#x0*26);")
+_SCHEME = re.compile(r"(?i)[a-z][a-z0-9+.-]*:")
+
+
+def resolve(base: str, target: str) -> str:
+    """The absolute address of a link on the page ``base``; empty where there is none."""
+    named = _SCHEME.match(target)
+    if not target or named:
+        return target if named and target.startswith("//", named.end()) else ""
+    scheme, _, rest = base.partition("://")
+    try:
+        return scheme + urljoin(f"http://{rest}", target)[4:]
+    except ValueError:  # no address, such as a bracket that isn't closed
+        return ""
+
+
+def _target(url: str, base_tag: str | None, tag: str) -> str:
+    def value(pattern, tag):
+        m = pattern.search(tag)
+        return (m[1] or m[2] or m[3] or "").strip() if m else ""
+
+    if _REFRESH.search(tag):
+        m = _DELAY.match(value(_CONTENT, tag))
+        found = m[1] if m else ""
+    else:
+        found = value(_HREF if tag[:5].lower() == "<link" else _CONTENT, tag)
+    if not found:
+        m = _CLEAR.search(tag)
+        found = m[1] if m else ""
+    plain = lambda x: _AMP.sub("&", x.split()[0]) if x.strip() else ""
+    return resolve(resolve(url, plain(value(_HREF, base_tag or ""))) or url, plain(found))
+
+
+def link_targets(pages: DataFrame) -> DataFrame:
+    """(url, to) of the canonical links, og:url and meta refreshes of pages(url, html).
+
+    Relative ones are resolved against the page's ``base`` tag, else its url.
+    """
+    small_batches(pages.sparkSession)
+    schema = pa.schema([("url", pa.string()), ("to", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            urls = batch.column("url").to_pylist()
+            yield arrow_batch(schema, [urls, [_target(*x) for x in zip(urls, batch.column("base").to_pylist(), batch.column("tag").to_pylist())]])
+
+    html = F.coalesce("html", F.lit(""))
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     told = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b|property\s*=\s*[\"']?og:url\b|http-equiv\s*=\s*[\"']?refresh\b"))
-    found = F.transform(told, lambda t: F.regexp_extract(t, r"(?i)(?:href|url|content)\s*=\s*[\"']?\s*(?:[0-9.]+\s*;\s*url\s*=\s*)?[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)", 1))
-    return F.filter(found, lambda u: u != "")
+    base = F.regexp_extract(html, r"(?i)(<base\b[^>]*>)", 1)
+    return pages.select("url", base.alias("base"), F.explode(told).alias("tag")).mapInArrow(run, "url string, to string").where("to <> ''")
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -62,7 +116,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages(page_id, url, html).
 
-    Edges are the pages' canonical links and meta refreshes, redirects to the
+    Edges are the pages' canonical links and meta refreshes, absolute or
+    relative, redirects to the
     canonical form of an address, and the rows of ``redirects`` (src, dst) if
     given.  A page that a rule fits gets the rule's verdict.  Another page gets
     allow if a rule allows any address of its component, else block if a rule
@@ -73,7 +128,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataF
     scratch = Scratch(pages.sparkSession, "urls")
     url = F.col("url").cast("string")
     named = url.contains("://")
-    links = pages.where(named).select(canonical_url(url).alias("u"), F.explode(link_targets(F.col("html").cast("string"))).alias("to"))
+    links = link_targets(pages.where(named).select(url.alias("url"), F.col("html").cast("string").alias("html"))).select(canonical_url(F.col("url")).alias("u"), "to")
     edges = links.select("u", canonical_url(F.col("to")).alias("v"), F.col("to").alias("seen"))
     if redirects is not None:
         given = redirects.where("src LIKE '%://%' AND dst LIKE '%://%'")

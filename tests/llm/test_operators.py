@@ -450,6 +450,19 @@ def test_url_components(spark):
     assert url_filter.filter_urls(d.limit(0), queries.RULES).count() == 0 and {r.verdict for r in url_filter.filter_urls(d, []).collect()} == {"allow"}
 
 
+def test_relative_links_are_edges(spark):
+    base = "https://x.org/a/b/c?q=1#f"
+    want = {"/en/1": "https://x.org/en/1", "//h.net/x": "https://h.net/x", "d": "https://x.org/a/b/d", "../d": "https://x.org/a/d", "?p=2": "https://x.org/a/b/c?p=2", "http://y.org/z": "http://y.org/z", "mailto:a@b.org": "", "": "", "//[x": ""}
+    assert {t: url_filter.resolve(base, t) for t in want} == want
+    bad = [("http://x.net/fr/bad", "")]
+    link = "<link rel=canonical href={}>".format
+    pages = [*bad, ("http://x.net/1", link("/fr/bad")), ("http://x.net/a/2", "<meta http-equiv=refresh content='0; url=../fr/bad'>"), ("http://o.org/3", link("//x.net/fr/bad")), ("http://o.org/4", '<base href="http://x.net/fr/"><link href="bad" rel="canonical">'),
+        ("http://x.net/5?a=1&b=2", ""), ("http://o.org/6", link('"http://x.net/5?a=1&amp;b=2"') + link("http://x.net/fr/bad")), ("http://o.org/7", link("/r?url=http://x.net/fr/bad")), ("http://o.org/8", "<meta http-equiv=refresh content=5>")]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(d, queries.RULES).collect()}
+    assert [got[i] for i in range(9)] == ["block"] * 7 + ["allow"] * 2
+
+
 @pytest.mark.parametrize("url", ["http://a@b:80/x?y#z", "x://", "a://b://c/d", "http://É.com/en/", "http://h?://q", "http://h\n/x"])
 def test_url_parts(spark, url):
     (r,) = spark.createDataFrame([(url,)], "url string").select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p")).collect()
