@@ -120,8 +120,11 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _keys(ids: np.ndarray, offsets: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents given by slices (none empty) of a token array."""
     sums = np.stack([np.add.reduceat(s[ids], offsets[:-1]) for s in signs], axis=1)
-    size = np.sqrt(np.diff(offsets))[:, None]
-    z = sums / np.maximum(size, 1) / 4
+    # by the norm of the token counts: a text's place does not depend on its length
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    pair, n = np.unique((owner << 16) | ids, return_counts=True)
+    norm = np.sqrt(np.bincount(pair >> 16, weights=n.astype(np.float64) ** 2))[:, None]
+    z = sums / norm / 4
     cells = np.clip((z + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert_key(cells)
 

@@ -463,6 +463,13 @@ def test_relative_links_are_edges(spark):
     assert [got[i] for i in range(9)] == ["block"] * 7 + ["allow"] * 2
 
 
+def test_place_on_the_curve_does_not_depend_on_length():
+    signs = np.random.default_rng(99).choice(np.array([-1.0, 1.0], np.float32), (packing.DIMENSIONS, 1 << 16))
+    texts = [np.random.default_rng(i).zipf(1.3, 200).clip(max=60_000).astype("<u2") for i in range(20)]
+    places = lambda texts: packing._keys(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), signs)
+    assert places(texts).tolist() == places([np.tile(x, 64) for x in texts]).tolist() and len(set(places(texts))) == 20
+
+
 @pytest.mark.parametrize("url", ["http://a@b:80/x?y#z", "x://", "a://b://c/d", "http://É.com/en/", "http://h?://q", "http://h\n/x"])
 def test_url_parts(spark, url):
     (r,) = spark.createDataFrame([(url,)], "url string").select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p")).collect()
