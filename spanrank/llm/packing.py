@@ -37,10 +37,8 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b) if b in plain else chr(next(other)): b for b in range(256)}
 
 
-def _ranks(path: str) -> dict[bytes, int] | None:
+def _ranks(spec: dict) -> dict[bytes, int] | None:
     """Token bytes by id, if the vocabulary is plain byte-level BPE of which the ids follow the merges."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     model, first = spec["model"], spec["pre_tokenizer"] or {}
     plain = model["type"] == "BPE" and spec["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
     if not plain or model.get("ignore_merges") or model.get("dropout"):
@@ -48,38 +46,52 @@ def _ranks(path: str) -> dict[bytes, int] | None:
     vocab, pairs = model["vocab"], (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
     if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
         return None
-    byte = _byte_of_char()
-    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}
+    byte, added = _byte_of_char(), {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
+
+
+def _added(spec: dict) -> dict[str, int] | None:
+    """Ids of the added tokens, if each is found in a text as it stands and no other begins or ends inside it."""
+    tokens = spec["added_tokens"]
+    names = [t["content"] for t in tokens]
+    odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens)
+    crossed = any(a is not b and any(a.endswith(b[:k]) or b in a for k in range(1, len(b) + 1)) for a in names for b in names)
+    return None if odd or crossed else {t["content"]: t["id"] for t in tokens}
 
 
 class Encoder:
     """Token ids of whole texts under a vocabulary file of the tokenizers library.
 
-    A plain byte-level vocabulary is encoded by tiktoken from the same ranks,
-    which gives the same ids in a fifth of the time; other vocabularies, and
-    texts that its pattern engine gives up on (very long runs of blanks), by
-    the tokenizers library.  Strings of special tokens are ordinary text.
+    They are the library's own with ``add_special_tokens=False``: a string of a
+    special token inside a text becomes that token.  A plain byte-level
+    vocabulary is encoded by tiktoken from the same ranks, which gives the same
+    ids in a fifth of the time; other vocabularies, and texts that its pattern
+    engine gives up on (very long runs of blanks), by the tokenizers library.
     """
 
     def __init__(self, path: str):
         self.path = path
-        ranks = _ranks(path)
-        self.fast = ranks and tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = [*spec["model"].get("vocab", {}).values()] if isinstance(spec["model"].get("vocab"), dict) else range(len(spec["model"].get("vocab", ())))
+        last = max([0, *ids, *(t["id"] for t in spec["added_tokens"])])
+        #: Stored width of an id: 16 bits where every id of the vocabulary fits, else 32.
+        self.dtype = np.dtype("<u2" if last < 1 << 16 else "<u4")
+        ranks, added = _ranks(spec), _added(spec)
+        self.fast = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added) if ranks and added is not None else None
 
     @functools.cached_property
     def slow(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 16-bit ids."""
+        """Little-endian ids of ``dtype``."""
         if self.fast and not _BLANKS.search(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype(self.dtype).tobytes()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
 @functools.cache
@@ -119,11 +131,11 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _keys(ids: np.ndarray, offsets: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents given by slices (none empty) of a token array."""
-    sums = np.stack([np.add.reduceat(s[ids], offsets[:-1]) for s in signs], axis=1)
+    sums = np.stack([np.add.reduceat(s[ids & 0xFFFF], offsets[:-1]) for s in signs], axis=1)
     # by the norm of the token counts: a text's place does not depend on its length
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    pair, n = np.unique((owner << 16) | ids, return_counts=True)
-    norm = np.sqrt(np.bincount(pair >> 16, weights=n.astype(np.float64) ** 2))[:, None]
+    pair, n = np.unique((owner << 32) | ids, return_counts=True)
+    norm = np.sqrt(np.bincount(pair >> 32, weights=n.astype(np.float64) ** 2))[:, None]
     z = sums / norm / 4
     cells = np.clip((z + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert_key(cells)
@@ -140,12 +152,12 @@ def _spread(key: np.ndarray, doc_id: pa.Array) -> np.ndarray:
 
 def _tokenise(path: str, cuts: list[int], end: int = 0):
     def run(batches):
-        encode = encoder(path).encode
+        encode, kind = encoder(path).encode, encoder(path).dtype
         signs = np.random.default_rng(99).choice(np.array([-1.0, 1.0], np.float32), (DIMENSIONS, 1 << 16))
         for batch in chunks(batches, "text"):
-            ids = [encode(t or "") + end.to_bytes(2, "little") for t in batch.column("text").to_pylist()]
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            key = _spread(_keys(flat, np.cumsum([0, *(len(x) // 2 for x in ids)]), signs), batch.column("doc_id"))
+            ids = [encode(t or "") + end.to_bytes(kind.itemsize, "little") for t in batch.column("text").to_pylist()]
+            flat = np.frombuffer(b"".join(ids), kind).astype(np.int64)
+            key = _spread(_keys(flat, np.cumsum([0, *(len(x) // kind.itemsize for x in ids)]), signs), batch.column("doc_id"))
             bucket = np.searchsorted(np.array(cuts, np.int64), key, side="right")
             yield arrow_batch(_TOKENS, [batch.column("doc_id"), key, bucket.astype(np.int32), ids])
 
@@ -160,8 +172,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, sample_rows:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all rows.
 
     Every text is tokenised as a whole and ended by id 0; ids holds the piece's
-    16-bit token ids.  Sequences are full but for the last of each task.  Range
-    splitters come from at most about ``sample_rows`` rows; all rows are packed.
+    token ids, of 16 bits where the vocabulary's ids all fit, else of 32.
+    Sequences are full but for the last of each task.  Range splitters come
+    from about ``sample_rows`` rows, drawn as rows whatever their ids; all rows
+    are packed.
     Null or empty texts are the end token alone.  Equal rows are packed
     separately, ties on the curve are broken by a hash of doc_id, doc_id and ids.
     No rows: none; other columns are not read.
@@ -170,8 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, sample_rows:
     n = parts(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.select("doc_id").count()
-    step = max(1, rows // sample_rows)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(step)) == 0).mapInArrow(_tokenise(tokenizer_path, []), "doc_id long, key long, bucket int, ids binary")
+    sample = (docs.sample(sample_rows / rows, seed=5) if rows > sample_rows else docs).mapInArrow(_tokenise(tokenizer_path, []), "doc_id long, key long, bucket int, ids binary")
     found = sample.agg(F.percentile_approx("key", [i / (2 * n) for i in range(1, 2 * n)], 10_000)).first()[0]
     cuts = sorted(set(found or []))
     tokens = docs.mapInArrow(_tokenise(tokenizer_path, cuts), "doc_id long, key long, bucket int, ids binary")
@@ -180,17 +193,19 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, sample_rows:
     def run(batches):
         from pyspark import TaskContext
 
+        kind = encoder(tokenizer_path).dtype
+        wide = kind.itemsize
         sequence = TaskContext.get().partitionId() << 40
         offset, rows, held = 0, [], 0
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                at, total = 0, len(ids) // 2
+                at, total = 0, len(ids) // wide
                 while at < total:
                     if offset == length:
                         sequence, offset = sequence + 1, 0
                     k = min(length - offset, total - at)
-                    piece = ids[2 * at : 2 * (at + k)]
-                    crc = zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes())
+                    piece = ids[wide * at : wide * (at + k)]
+                    crc = zlib.crc32(np.frombuffer(piece, kind).astype("<u4").tobytes())
                     rows.append((doc, at, k, crc, total, sequence, offset, piece))
                     at, offset, held = at + k, offset + k, held + k
                 if held > 1 << 20:

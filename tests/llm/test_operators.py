@@ -216,11 +216,15 @@ def test_chunks_survive_shifts():
 
 # ---- 7 packing
 
-def whole_ids(texts):
+@functools.cache
+def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def whole_ids(texts):
+    t = _tokenizer()
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -273,10 +277,10 @@ def test_encoder_equals_tokenizer():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=40))
-def test_encoder_equals_tokenizer_on_any_text(text):
-    encoder = _encoder()
-    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "x"])), max_size=6))
+def test_encoder_equals_tokenizer_on_any_text(pieces):
+    text = "".join(pieces)
+    assert np.frombuffer(_encoder().encode(text), "<u2").tolist() + [0] == whole_ids([text])[0]
 
 
 @functools.cache
@@ -284,6 +288,16 @@ def _encoder():
     return packing.Encoder(queries.tokenizer_path())
 
 
+def test_packing_special_strings_and_ids_that_say_nothing(spark):
+    """Strings of special tokens inside texts; ids all null or all equal still sample and pack every row."""
+    made = [prose(i, 30) + (" <|endoftext|> end" if i % 3 == 0 else "") for i in range(60)]
+    for ids in ([None] * 60, [7] * 60, range(60)):
+        d = spark.createDataFrame(list(zip(ids, made)), "doc_id long, text string")
+        check_packing(packing.pack(d, queries.tokenizer_path(), sample_rows=20).collect(), d)
+    assert np.frombuffer(_encoder().encode("hello <|endoftext|> there"), "<u2").tolist() == whole_ids(["hello <|endoftext|> there"])[0][:-1]
+    assert 50256 in whole_ids(["hello <|endoftext|> there"])[0]
+
+
 def test_hilbert_neighbours_touch():
     bits, n = 3, 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n), -1).reshape(-1, n)
