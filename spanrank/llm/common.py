@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Chunk of UTF-8 text handled at once by a Python task; bounds its memory.
 CHUNK_BYTES = 1 << 18
@@ -121,6 +122,20 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
     release()
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, of which ``key`` is unique; counts(key, n) are the rows of left (``total`` in all) of a key.
+
+    A key that has over a thousandth of left's rows would fill one task.  There
+    are fewer than a thousand such keys whatever the input, so their rows of
+    right are broadcast; the others meet in a plain join.
+    """
+    hot = counts.where(F.col("n") > max(1000, total // 1000)).select(key)
+    one = left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
+    if how == "left":
+        one = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    return one.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> np.uint64(31))

@@ -1,26 +1,31 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base matchers give seed entities.  The words before an entity, or on both
-sides of it, are its lexical patterns.  Strings that look like an identifier
-but fail the base matchers are unseen instances.  Over the pattern-instance
-graph Spark scores patterns by the confidence of their instances and instances
-by their patterns, a few rounds long; patterns of high confidence then mark
-the unseen instances that they stand around.
+Base matchers give seed entities, and long strings of mixed letters and digits
+are seeds of a fifth kind, ``secret`` (keys, tokens, passwords).  What stands
+around an entity gives its lexical patterns: whole words before and after it,
+exact or generalised to their shape.  Strings that look like an identifier but
+are no seed are unseen instances.  Over the pattern-instance graph Spark scores
+patterns by the belief in their instances and instances by their patterns until
+no further pattern is promoted; promoted patterns mark the unseen instances
+that they stand around.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, hidden, small_batches
+from .common import Scratch, chunks, hidden, small_batches, spread_join
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the base matchers, and the one that only the method adds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Patterns that are broadcast at most; a longer list is joined.
 LISTED = 100_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,8 +35,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_LIKE = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,255}(?![A-Za-z0-9-])|(?<![0-9])[0-9][0-9\x20().-]{5,28}[0-9](?![0-9])")
-_WORD = re.compile(r"[^\s]+")
+_NUMBER = re.compile(r"[0-9][0-9\x20().-]{5,}[0-9]")
+_HOST = re.compile(r"[A-Za-z0-9-]+")
+_MIXED = re.compile(r"[A-Za-z0-9]{8,}")
+_TURN = re.compile(r"[0-9][A-Za-z]|[A-Za-z](?=[0-9])")
+_WORD = re.compile(r"\S+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def _luhn(digits: str) -> bool:
@@ -70,40 +79,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _contexts(text: str, kind: int, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: its two words before, and its word before and after."""
-    left = [w.lower() for w in _WORD.findall(text[max(0, start - 64) : start])[-2:]]
-    right = [w.lower() for w in _WORD.findall(text[end : end + 32])[:1]]
-    out = []
-    if len(left) == 2:
-        out.append(f"{KINDS[kind]}|{left[0]} {left[1]}|")
-    if left and right:
-        out.append(f"{KINDS[kind]}|{left[-1]}|{right[0]}")
-    return out
+def _secrets(text: str):
+    """(start, end, whether a seed) of runs of 8 or more ASCII letters and digits, some of both, that no other letter or digit touches.
+
+    A seed has 16 characters or more and changes between letters and digits three times or more.
+    """
+    for m in _MIXED.finditer(text):
+        a, b = m.span()
+        turns = sum(1 for _ in _TURN.finditer(m[0]))
+        if turns and not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum():
+            yield a, b, b - a >= 16 and turns >= 3
 
 
-def unseen(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans shaped like identifiers that overlap no base match."""
-    out = []
+def _free_of(spans: list[tuple[int, int, int]]):
+    """Whether a stretch overlaps none of the sorted spans."""
+    starts, reach = [x[0] for x in spans], []
+    for _, _, e in spans:
+        reach.append(max(e, reach[-1] if reach else 0))
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(starts, b - 1)
+        return not i or reach[i - 1] <= a
+
+    return free
+
+
+def look(text: str) -> tuple[list, list, list]:
+    """Spans (start, kind index, end) of a text: base matches, further seeds, and unseen strings shaped like identifiers.
+
+    Further seeds and unseen strings overlap no base match, and unseen strings no further seed.
+    """
+    base = base_spans(text)
     if "@" not in text and not _DIGIT.search(text):
-        return out
-    at = 0
-    for m in _LIKE.finditer(text):
-        while at < len(base) and base[at][2] <= m.start():
-            at += 1
-        if any(b[0] < m.end() and b[2] > m.start() for b in base[max(0, at - 4) : at + 8]):
-            continue
-        s = m[0]
-        if "@" in s:
-            kind = 0
-        elif s.count(".") == 3 and re.fullmatch(r"[0-9.]+", s):
-            kind = 1
-        else:
-            n = sum(c.isdigit() for c in s)
-            if n < 7:
-                continue
-            kind = 2 if n >= 12 else 3
-        out.append((m.start(), kind, m.end()))
+        return base, [], []
+    free = _free_of(base)
+    mixed = [x for x in _secrets(text) if free(*x[:2])]
+    more = [(a, 4, b) for a, b, sure in mixed if sure]
+    unseen = [(a, 4, b) for a, b, sure in mixed if not sure]
+    free = _free_of(sorted(base + more))
+    at = text.find("@")
+    while at >= 0:
+        a = at
+        if m := _HOST.match(text, at + 1):
+            while a and text[a - 1] in _LOCAL:
+                a -= 1
+            if a < at and free(a, m.end()):
+                unseen.append((a, 0, m.end()))
+        at = text.find("@", at + 1)
+    for m in _NUMBER.finditer(text):
+        a, b = m.span()
+        n = sum(map(str.isdigit, m[0]))
+        if 7 <= n <= 19 and free(a, b) and not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum():
+            unseen.append((a, 1 if m[0].count(".") == 3 and not re.search(r"[^0-9.]", m[0]) else 2 if n >= 12 else 3, b))
+    return base, more, sorted(unseen)
+
+
+def _name(word: str) -> str:
+    """A word of a pattern: lower-cased, a very long one by its digest."""
+    return word.lower() if len(word) <= 40 else "#" + hashlib.blake2b(word.lower().encode(), digest_size=8).hexdigest()
+
+
+def _shape(word: str) -> str:
+    return _name(_DIGITS.sub("9", _LETTERS.sub("w", word)))
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[list[str]]:
+    """Lexical patterns around each span, from the words between blanks, taken whole.
+
+    The part of the span's own word before it counts as a word.  Patterns are
+    its two words before, its word before, the words on both sides, its three
+    words before if the nearest is such a part (as in ``key = "``), and the
+    shape of its two words before.  ``^`` and ``$`` stand for the text's ends.
+    """
+    if not spans:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    first = [a for a, _ in words]
+    out = []
+    for a, kind, b in spans:
+        i, j = bisect_right(first, a) - 1, bisect_right(first, b - 1) - 1
+        own, left = text[words[i][0] : a], []
+        left = [own] if own else []
+        left += [text[x:y] for x, y in reversed(words[max(0, i - 3) : i])]
+        left += ["^"] * (3 - len(left))
+        after = text[b : words[j][1]]
+        right = after or (text[slice(*words[j + 1])] if j + 1 < len(words) else "$")
+        l1, l2, l3 = map(_name, left[:3])
+        k = KINDS[kind]
+        mine = [f"{k}|{l2} {l1}|", f"{k}|{l1}|", f"{k}|{l1}|{_name(right)}", f"{k}~{_shape(left[1])} {_shape(left[0])}~"]
+        out.append([*mine, f"{k}|{l3} {l2} {l1}|"] if own else mine)
     return out
 
 
@@ -118,42 +182,53 @@ def edges(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if not text:
                     continue
-                base = base_spans(text)
-                for seed, spans in ((True, base), (False, unseen(text, base))):
-                    for a, kind, b in spans:
-                        name = int.from_bytes(hashlib.blake2b(f"{kind}{text[a:b]}".encode(), digest_size=8).digest(), "little", signed=True)
-                        rows += [(p, name, seed) for p in _contexts(text, kind, a, b)]
+                base, more, unseen = look(text)
+                spans = [*base, *more, *unseen]
+                sure = len(base) + len(more)
+                for i, ((a, kind, b), patterns) in enumerate(zip(spans, contexts(text, spans))):
+                    name = int.from_bytes(hashlib.blake2b(f"{kind}{text[a:b]}".encode(), digest_size=8).digest(), "little", signed=True)
+                    rows += [(p, name, i < sure) for p in patterns]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pattern string, instance long, seed boolean")
 
 
-def learn_patterns(docs: DataFrame, rounds: int = 3, threshold: float = 0.8, support: int = 5, listed: int = LISTED) -> list[str] | DataFrame:
-    """Patterns of confidence ``threshold`` or more over all rows that have ``support`` distinct instances.
+def learn_patterns(docs: DataFrame, threshold: float = 0.8, support: int = 5, listed: int = LISTED) -> list[str] | DataFrame:
+    """Patterns of confidence ``threshold`` or more over all rows of which ``support`` instances are believed.
 
-    Up to ``listed`` patterns are collected.  More of them stay a table
-    (pattern) in the scratch folder, so what reaches the driver has a bound
-    and no pattern is lost to it.
+    A seed is believed with 1, an unseen instance with the greatest confidence
+    of the promoted patterns around it, else 0.  A pattern's confidence is the
+    mean belief over its distinct instances; it is promoted when that reaches
+    ``threshold`` and the sum reaches ``support``.  Beliefs only grow, so rounds
+    go on until none is promoted any more.  Neither bound depends on the size
+    of the table.  Up to ``listed`` patterns are collected; more of them stay a
+    table (pattern) in the scratch folder, so what reaches the driver has a
+    bound and no pattern is lost to it.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     graph = scratch.save(edges(docs).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    often = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    graph_ = scratch.save(graph.join(often, "pattern"))
-    belief = graph_.select("pattern", "instance", "n", F.col("seed").cast("double").alias("c"), "seed")
-    patterns = None
-    for i in range(rounds):
-        patterns = belief.groupBy("pattern", "n").agg(F.sum("c").alias("s")).select("pattern", (F.col("s") / (F.col("n") + 1)).alias("conf"))
-        if i + 1 == rounds:
+    degree = scratch.save(graph.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("s"), F.sum((~F.col("seed")).cast("long")).alias("u")).where(F.col("n") >= support))
+    open_ = graph.where("NOT seed")
+    of_pattern, of_instance = degree.select("pattern", F.col("u").alias("n")), scratch.save(open_.groupBy("instance").agg(F.count("*").alias("n")))
+    total = open_.count()
+    promoted = scratch.save(degree.where((F.col("s") >= support) & (F.col("s") >= threshold * F.col("n"))).select("pattern", (F.col("s") / F.col("n")).alias("conf")))
+    n = promoted.count()
+    while n:
+        belief = scratch.save(spread_join(open_, promoted, "pattern", of_pattern, total).groupBy("instance").agg(F.max("conf").alias("belief")))
+        gained = spread_join(open_.select("pattern", "instance"), belief, "instance", of_instance, total).groupBy("pattern").agg(F.sum("belief").alias("more"))
+        held = F.col("s") + F.coalesce("more", F.lit(0.0))
+        now = degree.join(gained, "pattern", "left").where((held >= support) & (held >= threshold * F.col("n"))).select("pattern", (held / F.col("n")).alias("conf"))
+        now = scratch.save(now)
+        scratch.drop(promoted, belief)
+        promoted, before, n = now, n, now.count()
+        if n == before:
             break
-        patterns = scratch.save(patterns)
-        told = graph_.where("NOT seed").join(patterns.where(F.col("conf") >= threshold / 2), "pattern")
-        told = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf") * 0.9)))).alias("conf"))
-        belief = graph_.join(told, "instance", "left").select("pattern", "instance", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))).alias("c"), "seed")
-    sure = scratch.save(patterns.where(F.col("conf") >= threshold).select("pattern"))
-    if sure.count() > listed:
-        return sure
-    return sorted(r.pattern for r in sure.collect())
+    if n > listed:
+        return promoted.select("pattern")
+    found = sorted(r.pattern for r in promoted.select("pattern").collect())
+    scratch.drop(graph, degree, of_instance, promoted)
+    return found
 
 
 def _told_by_table(docs: DataFrame, patterns: DataFrame, key: str, more: str) -> DataFrame:
@@ -169,7 +244,8 @@ def _told_by_table(docs: DataFrame, patterns: DataFrame, key: str, more: str) ->
         for batch in chunks(batches, "text"):
             rows = []
             for name, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                rows += [(name, a, kind, b, p) for a, kind, b in unseen(text, base_spans(text)) for p in _contexts(text, kind, a, b)]
+                unseen = look(text)[2]
+                rows += [(name, *span, p) for span, patterns in zip(unseen, contexts(text, unseen)) for p in patterns]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -187,9 +263,9 @@ def _told_by_table(docs: DataFrame, patterns: DataFrame, key: str, more: str) ->
 def find_spans(docs: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
     """docs with base_spans and spans: arrays of (start, kind, end) in code points, by start, then kind.
 
-    spans holds the base spans and those that the patterns, a list or a table
-    (pattern), add.  Null or empty texts have none.  Columns of these names are
-    replaced; others pass through.
+    base_spans holds what the base matchers find; spans adds the further seeds
+    and what the patterns, a list or a table (pattern), mark.  Null or empty
+    texts have none.  Columns of these names are replaced; others pass through.
     """
     docs = docs.drop("base_spans", "spans")
     fields = docs.schema.fields
@@ -211,11 +287,11 @@ def find_spans(docs: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
             base_column, all_column = [], []
             told = batch.column("_more").to_pylist() if joined else None
             for i, text in enumerate(batch.column("text").to_pylist()):
-                base = base_spans(text) if text else []
+                base, more, unseen = look(text) if text else ([], [], [])
                 if joined:
-                    more = [(s["start"], s["kind"], s["end"]) for s in told[i] or []]
-                else:
-                    more = [x for x in unseen(text, base) if any(p in known for p in _contexts(text, x[1], x[0], x[2]))] if text and known else []
+                    more = more + [(s["start"], s["kind"], s["end"]) for s in told[i] or []]
+                elif known:
+                    more = more + [x for x, patterns in zip(unseen, contexts(text, unseen)) if not known.isdisjoint(patterns)]
                 base_column.append(listed(base))
                 all_column.append(listed(sorted(base + more)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(base_column, kind), pa.array(all_column, kind)], names=[*names, "base_spans", "spans"])

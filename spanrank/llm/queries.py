@@ -62,8 +62,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(docs, pii.learn_patterns(docs))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    counts = [count(k) for k in pii.BASE_KINDS]
+    added = (F.size("spans") - F.size("base_spans")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"), added, (F.size("spans") > 0).alias("private"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,6 +337,7 @@ def test_op8_equals_brute_force(spark):
     for r in queries.op8_pii(spark, SF).collect():
         base = brute_base(texts[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[1] == k for b in base) for k in range(4)]
+        assert r.private == bool(r.spans) and r.n_added == len(r.spans.split(",")) * r.private - len(base)
         said = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base]
         assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest() and set(said) <= set(filter(None, r.spans.split(",")))
 
@@ -354,8 +355,81 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert pii.learn_patterns(d.limit(0)) == [] and pii.redact(d.limit(0).drop("spans"), []).count() == 0
 
 
+def brute_patterns(texts, threshold=0.8, support=5):
+    """Promoted patterns by plain dictionaries, and the spans that they add to each text."""
+    graph = defaultdict(dict)
+    looked = [pii.look(t or "") for t in texts]
+    for t, (base, more, unseen) in zip(texts, looked):
+        spans = [*base, *more, *unseen]
+        for i, ((a, k, b), patterns) in enumerate(zip(spans, pii.contexts(t or "", spans))):
+            for p in patterns:
+                graph[p][k, t[a:b]] = graph[p].get((k, t[a:b]), False) or i < len(base) + len(more)
+    conf = {}
+    while True:
+        belief = defaultdict(float)
+        for p, c in conf.items():
+            for x in graph[p]:
+                belief[x] = max(belief[x], c)
+        now = {}
+        for p, found in graph.items():
+            held = sum(1.0 if seed else belief[x] for x, seed in found.items())
+            if held >= support and held >= threshold * len(found):
+                now[p] = held / len(found)
+        if len(now) == len(conf):
+            break
+        conf = now
+    added = [[*more, *(s for s, ps in zip(unseen, pii.contexts(t or "", unseen)) if set(ps) & set(conf))] for t, (_, more, unseen) in zip(texts, looked)]
+    return sorted(conf), added
+
+
+def test_op8_learns_and_adds_what_brute_force_adds(spark):
+    for sf in (SF, SF.replace("0.001", "0.01")):
+        rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+        patterns, added = brute_patterns([r.text for r in rows])
+        want = {r.doc_id: sorted([*brute_base(r.text), *more]) for r, more in zip(rows, added)}
+        assert pii.learn_patterns(spark.createDataFrame(rows)) == patterns
+        got = {r.doc_id: r.spans for r in queries.op8_pii(spark, sf).collect()}
+        assert got == {i: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in x) for i, x in want.items()}
+    assert patterns and any(added)
+
+
+def test_scores_reach_their_fixpoint(spark):
+    """A pattern promoted by instances that another pattern believes, and none by its own instances alone."""
+    rows = [f"x{i} login {chr(97 + i)}u@site.org now" for i in range(8)] + ["x login zz@hosta end", "q login yy@hostb fin"]
+    rows += [f"as account {w} yes" for w in ("zz@hosta", "yy@hostb")] + [f"as account {chr(97 + i)}u@site.org yes" for i in range(6)] + [f"odd thing w{i}@hostc here" for i in range(9)] + ["odd thing au@site.org here"]
+    rows += ["as account vv@hostd yes"]
+    got = pii.learn_patterns(spark.createDataFrame([(t,) for t in rows], "text string"))
+    assert got == brute_patterns(rows)[0] and "email|login|" in got and "email|account|" in got and "email|thing|" not in got
+
+
+def test_masked_identifiers_are_found_again(spark):
+    """Identifiers whose form is broken so that the base matchers miss them, and look-alikes in other contexts."""
+    import random
+
+    r, said, masked, decoys = random.Random(3), {0: "write to", 1: "from host", 2: "card number", 3: "call me on"}, set(), 0
+    rows = []
+    for i in range(600):
+        k, d = i % 4, lambda n: "".join(r.choice("0123456789") for _ in range(n))
+        whole = [f"u{d(6)}@mail.example.org", f"10.{r.randrange(256)}.0.{r.randrange(256)}", "4111 1111 1111 1111", f"+1 ({d(3)}) 555-{d(4)}"][k]
+        broken = [f"u{d(6)}@mailhost", f"10.{r.randrange(256)}.0.{300 + r.randrange(600)}", "4111 1111 1111 1112", f"({d(3)}) 555-{d(4)}"[1:].replace(") ", "-")][k]
+        if k == 2:
+            whole = next(c for c in (f"4{d(15)}" for _ in range(200)) if any(b[1] == 2 for b in brute_base(c)))
+            broken = whole[:-1] + str((int(whole[-1]) + 1) % 10)
+        text = f"{prose(i, 6)} {said[k]} {broken if i % 9 == 0 else whole} {prose(i + 999, 6)}"
+        if i % 9 == 0:
+            masked.add((len(rows), text.index(broken), text.index(broken) + len(broken)))
+        rows.append(text)
+        if i % 5 == 0:
+            rows.append(f"{prose(i, 4)} part no {d(12 + i % 3)} {prose(i + 5, 4)}")
+            decoys += 1
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {(x.doc_id, s.start, s.end) for x in pii.find_spans(d, pii.learn_patterns(d)).collect() for s in x.spans if s not in x.base_spans}
+    assert len(masked) >= 50 and decoys >= 100
+    assert len(found & masked) >= 0.95 * len(masked) and len(found & masked) >= 0.95 * len(found)
+
+
 def test_unrelated_rows_take_no_pattern_away(spark):
-    rows = [*[f"please mail to user{i}@example.com now" for i in range(5)], "please mail to user9@localhost now"]
+    rows = [*[f"please mail to user{i}@example.com now" for i in range(5)], "please mail to user9@localhost now"]  # five of six are believed
     few = docs(spark, rows)
     noise = spark.range(310_000).select(F.concat(F.lit("some noise "), F.col("id") + 10_000_000, F.lit(" here")).alias("text"))
     patterns = pii.learn_patterns(few.select("text"))
