@@ -1,23 +1,24 @@
-"""MinHash near-duplicate classes: banding, exact verification, star components.
+"""MinHash near-duplicate classes: banding, signature verification, exact confirmation, star components.
 
 Plan
 ----
-1. One pass over the texts gives each document its set size, a 128-bit digest
-   of its full shingle set and the band keys of its signature.  Sets and texts
-   stay behind; only this slim table is written.
-2. Documents with equal sets are one class by definition: the least doc_id of
-   each digest represents them, so groups of exact copies shrink to a row
-   through a partial aggregation.
-3. Representatives that share a band key are linked to the least of the bucket
-   (a star, never all pairs); components of these stars are candidate clusters.
-   The signatures decide here which documents meet; with ``rows`` = 4 and
-   ``bands`` = 32 a pair at the threshold is missed with probability below 1e-7.
-4. The member with the largest total bucket size leads its cluster.  Members
-   are verified against the leader on full sets.
-5. Members not linked to their leader are compared on full sets with all
-   members of the cluster, in blocks of hashed ids (a block pair is a task) by
-   an inverted index; only links that join two local classes are emitted.
-6. Components of the verified links, again by large-star and small-star.
+1. One pass over the texts gives each row its set size, a 128-bit digest of its
+   full shingle set and its signature of universal hash minima.
+2. Rows with equal sets are one node by definition, so a group of exact copies
+   shrinks to a row through a partial aggregation.
+3. A bucket is the nodes that share a band of minima.  Every node is paired
+   with the least node of each of its buckets (stars, never all pairs).
+4. Signature verification: a pair stays if enough of its minima agree.  The
+   bound is so low that a pair at the threshold falls below it with probability
+   1e-7 at most.  Of what stays, each node takes the partner that agrees best.
+5. These pairs are confirmed on full sets.  Rows are dealt by partner, in as
+   many parts as it has nodes for; the partner's text goes once to each part
+   and the others stream past it.  Components of the links are first classes.
+6. Buckets whose nodes are all of one class are done.  The others may still
+   hold links: their nodes are clustered, dealt in blocks of hashed nodes and
+   compared block by block, again by signature first and then on full sets;
+   only links that join two classes are emitted.  Components of these links
+   join the classes.
 """
 
 from __future__ import annotations
@@ -28,66 +29,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, chunks, flat, parts, small_batches
+from .common import Scratch, arrow_batch, chunks, flat, parts, small_batches, spread_join
 from .components import components
 from .shingles import MinHash, set_digest, shingle_sets
 
-_SLIM = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SLIM = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
 
 def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of every row; an empty set has null digest and bands."""
+    """(doc_id, n_shingles, digest, signature) of every row; an empty set has null digest and signature."""
 
     def run(batches):
         hasher = MinHash(bands, rows)
         for batch in chunks(batches, "text"):
             sets = shingle_sets(*flat(batch.column("text")), words)
             digests = [set_digest(s) if len(s) else None for s in sets]
-            keys = [hasher.keys(hasher.signature(s)).view(np.int64) if len(s) else None for s in sets]
-            yield arrow_batch(_SLIM, [batch.column("doc_id"), [len(s) for s in sets], digests, keys])
+            signatures = [hasher.signature(s).tobytes() if len(s) else None for s in sets]
+            yield arrow_batch(_SLIM, [batch.column("doc_id"), [len(s) for s in sets], digests, signatures])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+
+
+def agreement_bound(hashes: int, percent: int, miss: float = 1e-7) -> int:
+    """The most agreeing minima that a pair of similarity ``percent`` falls short of with probability ``miss`` at most."""
+    p, chance, below = percent / 100, (1 - percent / 100) ** hashes, 0.0
+    for k in range(hashes + 1):
+        below += chance
+        if below > miss:
+            return k
+        chance *= (hashes - k) / (k + 1) * p / (1 - p) if p < 1 else 0.0
+    return hashes
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    raw, off = flat(column)
+    return raw.view(np.uint32).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint32)
+
+
+def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(node, key) for each band of each signature; a key names band and minima."""
+    schema = pa.schema([("node", pa.int64()), ("key", pa.int64())])
+
+    def run(batches):
+        hasher = MinHash(bands, rows)
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.stack([hasher.keys(s) for s in _signatures(batch.column("signature"))]).view(np.int64)
+                yield arrow_batch(schema, [pa.array(np.repeat(batch.column("node").to_numpy(), bands)), pa.array(keys.reshape(-1))])
+
+    return reps.select("node", "signature").mapInArrow(run, "node long, key long")
+
+
+def _agreeing(pairs: DataFrame, bound: int) -> DataFrame:
+    """(node, least, agree) of the pairs (node, least, signature, other) with ``bound`` equal minima or more."""
+    schema = pa.schema([("node", pa.int64()), ("least", pa.int64()), ("agree", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                agree = (_signatures(batch.column("signature")) == _signatures(batch.column("other"))).sum(axis=1).astype(np.int32)
+                keep = pa.array(agree >= bound)
+                yield arrow_batch(schema, [batch.column("node").filter(keep), batch.column("least").filter(keep), pa.array(agree[agree >= bound])])
+
+    return pairs.select("node", "least", "signature", "other").mapInArrow(run, "node long, least long, agree int")
 
 
 def _linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def _verify_leaders(pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, lead, linked) for rows (u, text, digest, lead, lead_text)."""
-    schema = pa.schema([("u", pa.int64()), ("lead", pa.int64()), ("linked", pa.bool_())])
+def _confirm(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v) of rows linked to their lead, from rows (lead, salt, own, node, text) sorted so that a lead's own row comes first."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        known: tuple = (None, None)
+        held = np.zeros(0, np.uint64)
         for batch in chunks(batches, "text"):
-            own = shingle_sets(*flat(batch.column("text")), words)
-            leads = batch.column("lead").to_pylist()
-            linked = []
-            for i, (s, lead) in enumerate(zip(own, leads)):
-                if lead != known[0]:
-                    known = (lead, shingle_sets(*flat(batch.column("lead_text").slice(i, 1)), words)[0])
-                n = len(np.intersect1d(s, known[1], assume_unique=True))
-                linked.append(bool(_linked(n, len(s), len(known[1]), percent)))
-            yield arrow_batch(schema, [batch.column("u"), batch.column("lead"), linked])
+            found = []
+            sets = shingle_sets(*flat(batch.column("text")), words)
+            for s, own, node, lead in zip(sets, *(batch.column(c).to_pylist() for c in ("own", "node", "lead"))):
+                if own:
+                    held = s
+                elif _linked(len(np.intersect1d(s, held, assume_unique=True)), len(s), len(held), percent):
+                    found.append((node, lead))
+            yield arrow_batch(schema, [[x[0] for x in found], [x[1] for x in found]])
 
-    return pairs.select("u", "text", "lead", "lead_text").mapInArrow(run, "u long, lead long, linked boolean")
+    return rows.select("lead", "own", "node", "text").mapInArrow(run, "u long, v long")
 
 
-def _block_links(words: int, percent: int):
-    """Links between the loose rows and all rows of one block pair; only those that join local classes."""
+def _block_links(words: int, percent: int, bound: int):
+    """Links (u, v) of classes, between the two blocks of nodes of a group; only those that join local classes."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("u", kind="stable").drop_duplicates(["u", "loose"]).reset_index(drop=True)
-        raw = [t.encode() for t in group["text"]]
-        sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), words)
-        ids, size = group["u"].to_numpy(), np.array([len(s) for s in sets], np.int64)
-        loose = group["loose"].to_numpy()
-        rest = np.flatnonzero(~loose)
-        items = np.concatenate([sets[i] for i in rest]) if len(rest) else np.zeros(0, np.uint64)
-        owner = np.repeat(rest, size[rest])
-        order = np.argsort(items, kind="stable")
-        items, owner = items[order], owner[order]
-        parent = {int(i): int(i) for i in ids}
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        signature = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(group), -1)
+        classes, block, texts = group["class"].to_numpy(), group["block"].to_numpy(), group["text"].to_numpy()
+        sets: dict[int, np.ndarray] = {}
+        parent = {int(c): int(c) for c in classes}
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -95,75 +133,115 @@ def _block_links(words: int, percent: int):
                 x = parent[x]
             return x
 
-        found = []
-        for i in np.flatnonzero(loose):
-            lo, hi = np.searchsorted(items, sets[i]), np.searchsorted(items, sets[i], side="right")
-            n = hi - lo
-            where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(owner[where], minlength=len(ids))
-            for j in np.flatnonzero((common > 0) & _linked(common, size[i], size, percent)):
-                a, b = root(int(ids[i])), root(int(ids[j]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((int(ids[i]), int(ids[j])))
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                raw = np.frombuffer(texts[k].encode(), np.uint8)
+                sets[k] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+            return sets[k]
+
+        found, second = [], np.flatnonzero(block == j)
+        for a in np.flatnonzero(block == i).tolist():
+            others = second[second > a] if i == j else second
+            others = others[classes[others] != classes[a]]
+            others = others[(signature[others] == signature[a]).sum(axis=1) >= bound]
+            for b in others.tolist():
+                x, y = root(int(classes[a])), root(int(classes[b]))
+                if x != y:
+                    s, t = set_of(a), set_of(b)
+                    if _linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent):
+                        parent[max(x, y)] = min(x, y)
+                        found.append((int(classes[a]), int(classes[b])))
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 256) -> DataFrame:
+def _texts_of(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(node, text) of nodes(node, rep, digest); if doc_ids repeat, the text is one whose set has the digest."""
+    found = nodes.withColumnRenamed("rep", "doc_id").join(docs, "doc_id").select("node", "digest", "text")
+    if not repeated:
+        return found.select("node", "text")
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            sets = shingle_sets(*flat(batch.column("text")), words)
+            keep = pa.array([len(s) > 0 and set_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(keep), batch.column("text").filter(keep)], names=["node", "text"])
+
+    return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+
+
+def _count(table: DataFrame, key: str) -> DataFrame:
+    return table.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 256, part: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
 
-    Documents are linked when ``100 * |A & B| >= percent * |A | B|`` over their
-    distinct word shingles.  A text of fewer words is one shingle; null, empty
-    or blank texts have no shingles, are linked with nothing and are kept.
-    Rows with equal doc_id are one document and share a class.  A null doc_id
-    is linked with nothing: component_id is null and kept is true.  An empty
-    table gives no rows; other columns, whatever their names, are not read.
+    Rows are linked when ``100 * |A & B| >= percent * |A | B|`` over the
+    distinct word shingles of their texts.  A text of fewer words is one
+    shingle; null, empty or blank texts have none, are linked with nothing and
+    are kept.  component_id is the least doc_id of a row's class, kept says
+    whether it is the row's own.  Each row is judged by its own text: rows of
+    one doc_id with different texts may be of different classes, with equal
+    texts they are of one.  A null doc_id is linked with nothing: component_id
+    is null and kept is true.  An empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound = agreement_bound(bands * rows, percent)
     slim = scratch.save(sketch(docs, words, bands, rows))
-    full = slim.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    same = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = scratch.save(same)
-
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-    stars = scratch.save(keys.join(buckets, ["band", "key"]).groupBy("rep", "least").agg(F.sum("n").alias("weight")))
-    clusters = components(stars.select(F.col("rep").alias("u"), F.col("least").alias("v")), scratch)
-    weight = stars.groupBy(F.col("rep").alias("node")).agg(F.sum("weight").alias("weight"))
-    members = clusters.join(weight, "node").select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "weight")
-    members = members.join(reps.select("rep", "digest"), "rep")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    members = scratch.save(members.join(texts, "rep").groupBy("rep", "cluster", "weight", "digest").agg(F.first("text").alias("text")) if _repeated(slim) else members.join(texts, "rep"))
-    # A doc_id may come with several texts: the one whose set has the digest counts.
-    leads = members.groupBy("cluster").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("m")).select("cluster", F.negative("m.r").alias("lead"))
-    led = leads.join(members.select(F.col("rep").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    pairs = members.join(led, "cluster").where("rep <> lead").select(F.col("rep").alias("u"), "text", "lead", "lead_text")
-    tested = scratch.save(_verify_leaders(pairs, words, percent))
-
-    loose = members.join(tested.where("NOT linked").select(F.col("u").alias("rep")), "rep")
-    sizes = loose.groupBy("cluster").agg(F.count("*").alias("n_loose"))
-    sizes = sizes.join(members.groupBy("cluster").agg(F.count("*").alias("n_all")), "cluster")
-    sizes = sizes.select("cluster", F.ceil(F.col("n_loose") / block).cast("int").alias("a"), F.ceil(F.col("n_all") / (4 * block)).cast("int").alias("b"))
-    # a hot cluster is dealt over several tasks here, and over its block pairs afterwards
-    salt = F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(32)).cast("int").alias("salt")
-    sizes = sizes.withColumn("salt", F.explode(F.expr("sequence(0, 31)")))
-    loose, members = loose.select("*", salt), members.select("*", salt)
-    side = F.xxhash64("rep", F.lit(3))
-    first = loose.join(sizes, ["cluster", "salt"]).select("cluster", F.pmod(side, "a").cast("int").alias("i"), F.explode(F.expr("sequence(0, b - 1)")).alias("j"), F.col("rep").alias("u"), "text", F.lit(True).alias("loose"))
-    second = members.join(sizes, ["cluster", "salt"]).select("cluster", F.explode(F.expr("sequence(0, a - 1)")).alias("i"), F.pmod(side, "b").cast("int").alias("j"), F.col("rep").alias("u"), "text", F.lit(False).alias("loose"))
-    more = first.unionByName(second).repartition(parts(spark), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent), "u long, v long")
-
-    links = tested.where("linked").select("u", F.col("lead").alias("v")).unionByName(more)
-    roots = components(links, scratch)
-    classes = reps.select("rep", "digest").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    found = slim.drop("bands").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
-
-
-def _repeated(slim: DataFrame) -> bool:
-    return slim.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    named = slim.where("doc_id IS NOT NULL")
+    same = named.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
+    reps = scratch.save(same.withColumn("node", F.monotonically_increasing_id()))  # written, so a node keeps its number
+
+    keys = band_keys(reps, bands, rows)
+    buckets = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+    shared = scratch.save(spread_join(keys, buckets.select("key", "least"), "key", buckets, reps.count() * bands))
+    stars = scratch.save(shared.where("node <> least").select("node", "least").distinct())
+    signed = stars.join(reps.select("node", "signature"), "node")
+    signed = spread_join(signed, reps.select(F.col("node").alias("least"), F.col("signature").alias("other")), "least", _count(stars, "least"), stars.count())
+    best = _agreeing(signed, bound).groupBy("node").agg(F.max(F.struct("agree", F.negative("least").alias("l"))).alias("m"))
+    led = scratch.save(best.select("node", F.negative("m.l").alias("lead")))
+
+    repeated = bool(named.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    nodes = shared.select("node").distinct().join(reps.select("node", "rep", "digest"), "node")
+    texts = scratch.save(_texts_of(docs, nodes, words, repeated))
+    leads = scratch.save(_count(led, "lead").select("lead", "n", F.ceil(F.col("n") / part).cast("int").alias("salts")))
+    salt = F.expr("cast(pmod(xxhash64(node, 4), salts) as int)").alias("salt")
+    members = spread_join(led, leads.select("lead", "salts"), "lead", leads, led.count()).select("lead", salt, F.lit(False).alias("own"), "node").join(texts, "node")
+    own = leads.select(F.col("lead").alias("node"), "lead", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(True).alias("own")).join(texts, "node")
+    streams = members.select("lead", "salt", "own", "node", "text").unionByName(own.select("lead", "salt", "own", "node", "text"))
+    streams = streams.repartition(parts(spark), "lead", "salt").sortWithinPartitions("lead", "salt", F.col("own").desc())
+    first = scratch.save(components(scratch.save(_confirm(streams, words, percent)), scratch))
+
+    classed = scratch.save(shared.join(first, "node", "left").select("node", "key", "least", F.coalesce("root", "node").alias("class")))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("n")).where("a <> b")
+    mixed = scratch.save(mixed.select("key", "n"))
+    roots = first
+    if mixed.limit(1).count():
+        left = scratch.save(spread_join(classed, mixed.select("key"), "key", mixed, classed.count()))
+        clusters = components(left.select(F.col("node").alias("u"), F.col("least").alias("v")), scratch).withColumnRenamed("root", "cluster")
+        members = scratch.save(clusters.join(left.select("node", "class").distinct(), "node"))
+        sizes = scratch.save(_count(members, "cluster"))
+        members = spread_join(members, sizes.select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "cluster", sizes, members.count())
+        members = members.withColumn("block", F.expr("cast(pmod(xxhash64(node, 3), blocks) as int)"))
+        sent = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class")
+        sent = sent.join(reps.select("node", "signature"), "node").join(texts, "node").drop("node")
+        links = sent.repartition(parts(spark), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent, bound), "u long, v long")
+        more = components(scratch.save(links), scratch).select(F.col("node").alias("_class"), F.col("root").alias("_root"))
+        every = classed.select("node", "class").distinct()
+        roots = every.join(more, every["class"] == more["_class"], "left").select("node", F.coalesce("_root", "class").alias("root"))
+    roots = scratch.save(roots)
+
+    of_root = scratch.save(roots.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("n")))
+    told = spread_join(roots, of_root.select("root", "component"), "root", of_root, roots.count()).select("node", "component")
+    classes = scratch.save(reps.join(told, "node", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id")))
+    scratch.drop(reps, buckets, shared, stars, led, texts, leads, first, classed, mixed, roots, of_root)
+
+    found = spread_join(named.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest"), classes.select("digest", "component_id"), "digest", classes, named.count()).drop("digest")
+    alone = slim.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))

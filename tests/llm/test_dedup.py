@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spanrank.llm import queries
 from spanrank.llm.common import Scratch
 from spanrank.llm.components import components
-from spanrank.llm.minhash_dedup import near_duplicates
+from spanrank.llm.minhash_dedup import agreement_bound, near_duplicates
+from spanrank.llm.shingles import MinHash
 from spanrank.llm.suffix_dedup import multikey_quicksort, remove_repeats
 from tests.conftest import SF
 
@@ -67,20 +68,44 @@ def test_op4_equals_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def brute_rows(rows, k, percent):
+    """(doc_id, n_shingles, component_id, kept) of every row, each by its own text."""
+    by_row = brute_classes([(i, t) for i, (doc, t) in enumerate(rows) if doc is not None], k, percent)
+    least = {}
+    for i, (_, root) in by_row.items():
+        least[root] = min(least.get(root, rows[i][0]), rows[i][0])
+    out = []
+    for i, (doc, t) in enumerate(rows):
+        component = doc if doc is None or not shingles(t, k) else least[by_row[i][1]]
+        out.append((doc, len(shingles(t, k)), component, doc == component))
+    return Counter(out)
+
+
 def test_near_duplicates_odd_rows(spark):
-    d = with_oddities(spark)
-    rows = {r.doc_id: r.text for r in d.collect() if r.doc_id is not None}
-    want = brute_classes(rows.items(), 5, 80)
+    """Nulls, empty texts, copies without id, ids with several texts, repeated rows."""
+    base = prose(5, 60)
+    near = base.replace(base.split()[30], "other")
+    rows = [(r.doc_id, r.text) for r in with_oddities(spark).collect()]
+    rows += [(None, base), (None, base), (100, base), (101, near), (101, prose(6, 60)), (101, prose(6, 60)), (50, prose(6, 60)), (101, None), (101, ""), (102, near), (None, None), (7, base + " " + base)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("node", F.lit("n"))
     got = near_duplicates(d).collect()
-    assert len(got) == d.count()
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    assert Counter(tuple(r) for r in got) == brute_rows(rows, 5, 80)
     assert near_duplicates(d.limit(0)).count() == 0
 
 
+def test_signatures_refuse_no_pair_at_the_threshold():
+    rng, hasher = np.random.default_rng(1), MinHash(32, 4)
+    for percent in (80, 85):
+        bound = agreement_bound(128, percent)
+        assert 0.6 * 128 < bound + 5 < percent / 100 * 128
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+            n = -(-percent * 300 // 100)
+            y = np.concatenate([x[:n], rng.integers(0, 1 << 63, 300 - n, dtype=np.uint64)])[:n]
+            assert (hasher.signature(np.sort(x)) == hasher.signature(np.sort(y))).sum() >= bound
+    assert agreement_bound(128, 100) == 128
+
+
 def test_group_without_its_hub(spark):
     """Copies with scattered edits: many pairs at the edge of the threshold, the leader links only some."""
     base = prose(77, 300).split()
@@ -93,7 +118,7 @@ def test_group_without_its_hub(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for percent in (80, 90, 95):
         want = brute_classes(rows, 3, percent)
-        got = near_duplicates(d, words=3, percent=percent, bands=64, rows=3, block=16)
+        got = near_duplicates(d, words=3, percent=percent, bands=64, rows=3, block=16, part=8)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
