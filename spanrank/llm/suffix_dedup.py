@@ -4,23 +4,26 @@ A full suffix array of the corpus needs over 16 bytes of shuffle for each byte
 of text.  Here a suffix is kept only at anchors: of the ``length // 2``-byte
 grams inside a window of ``length`` bytes the one with the least hash is the
 window's anchor.  Equal windows have equal anchors at equal places, so every
-repeated window is found by comparing the suffixes (with what stands before
-them) at anchors of equal grams.  About one byte in fifty is an anchor.
+repeated window is found by comparing what stands around anchors of equal
+grams.  About one byte in fifty is an anchor.  Hashes choose anchors and leave
+out those whose gram occurs once; every repeat is decided by its bytes.
 
 1. One pass over the texts finds the anchors and the run of windows that each
-   stands for (its domain), with hashes of the gram and of the whole domain.
-   A flush of several MB settles domains that repeat inside it and sends one
-   of them on, so a hot passage reaches a bucket once for each flush.
-2. Buckets of gram hashes count the domains: what occurs twice is repeated as a
-   whole.  Grams with several different domains are left for comparison, one
-   request for each domain.
-3. The requested suffixes are fetched from the texts, range-partitioned by
-   sampled splitters on their leading gram and sorted in their bucket by
-   multikey quicksort.  Equal grams never straddle two buckets, so their runs
-   are whole.  In a run the windows are compared exactly.  The
-   windows of grams with very many domains are compared by 128-bit hashes
-   instead, which spreads them over all tasks.
-4. The windows that repeat are joined to the texts and their bytes removed.
+   stands for (its domain).  Of the records of a gram that meet in several MB
+   of text one goes on to its bucket, so a hot gram reaches it once a flush.
+2. Buckets of gram hashes leave out what occurs once and ask for the others.
+3. The domains asked for are fetched from the texts, range-partitioned by
+   sampled splitters on the gram that leads their suffix, and sorted.  Equal
+   grams never straddle two buckets.  In a bucket neighbours with equal domains
+   are settled as a whole; the windows of the others are suffixes that
+   multikey quicksort puts in order, and equal neighbours are repeats.
+4. The domains of a hot gram are first collapsed by a distributed count of
+   their bytes.  What is left is dealt by longer leads: the windows that start
+   between a and b bytes before the gram share length - b + a bytes, which are
+   their lead.  Leads that are still hot are halved to narrower ranges of
+   starts; a range of one start leads with the whole window.
+5. The windows that repeat are joined to the texts and their bytes removed.
+   Texts that occur twice are known by a 128-bit digest and go as a whole.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Poly, Scratch, arrow_batch, chunks, flat, mix, parts, small_batches
+from .common import Poly, Scratch, arrow_batch, chunks, flat, parts, small_batches, spread_join
 
 _MASK = np.uint64((1 << 22) - 1)
-_ONE, _TWO = Poly(11), Poly(12)
-_RECORD = np.dtype([("gram", "<u8"), ("ctx", "<u8"), ("key", "<i8"), ("at", "<i8"), ("n", "<u2"), ("o", "<u2"), ("twice", "?")])
+_ONE = Poly(11)
+_RECORD = np.dtype([("gram", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("at", "<i8"), ("n", "<u2"), ("o", "<u2"), ("twice", "?")])
 _FLUSH = 8 << 20
 
 
@@ -50,8 +53,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Records of all anchors; key is the index of the document and at the start of its first window there."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
+    """Records of all anchors; k1 is the index of the document and at the start of its first window there."""
     gram = length // 2
     if len(data) < length:
         return np.zeros(0, _RECORD)
@@ -70,13 +73,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     new = np.ones(len(windows), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(windows)))
     lo, p = windows[first], anchor[first]
     out = np.zeros(len(first), _RECORD)
-    out["gram"], out["n"], out["o"] = hashes[p], n, p - lo
-    whole_hash = _TWO.of(_TWO.prefix(data), lo, lo + n - 1 + length)
-    out["ctx"] = mix(whole_hash + (p - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out["key"], out["at"] = owner[first], lo - offsets[owner[first]]
+    out["gram"], out["n"], out["o"] = hashes[p] >> np.uint64(64 - bits), np.diff(np.append(first, len(windows))), p - lo
+    out["k1"], out["at"] = owner[first], lo - offsets[owner[first]]
     return out
 
 
@@ -91,45 +91,52 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, size: int = 1 <
             yield piece, np.array([0, len(piece)]), np.array([i]), np.array([at])
 
 
-def _classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted records, the first of each (gram, ctx) class, and whether the class occurs twice."""
-    r = r[np.lexsort((r["ctx"], r["gram"]))]
-    new = np.ones(len(r), bool)
-    new[1:] = (r["gram"][1:] != r["gram"][:-1]) | (r["ctx"][1:] != r["ctx"][:-1])
-    first = np.flatnonzero(new)
-    weight = np.add.reduceat(1 + r["twice"].astype(np.int64), first) if len(first) else first
-    return r, first, weight >= 2
+def _sorted(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records by gram without repeats of one place, the first of each gram, and whether the gram has several places."""
+    r = np.concatenate(pieces)
+    r = r[np.lexsort((r["at"], r["k2"], r["k1"], r["gram"]))]
+    same = np.ones(len(r), bool)
+    same[:1] = False
+    for name in ("gram", "k1", "k2", "at"):
+        same[1:] &= r[name][1:] == r[name][:-1]
+    twice = np.logical_or.reduceat(r["twice"], np.flatnonzero(~same)) if len(r) else r["twice"]
+    r = r[~same]
+    r["twice"] = twice
+    first = np.flatnonzero(np.append(True, r["gram"][1:] != r["gram"][:-1])[: len(r)])
+    n = np.diff(np.append(first, len(r)))
+    several = (n > 1) | (np.logical_or.reduceat(r["twice"], first) if len(r) else n > 1)
+    return r, first, several
 
 
 _BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
 
-def _emit_anchors(length: int, buckets: int):
+def _emit_anchors(length: int, buckets: int, bits: int):
     def packed(pieces: list[np.ndarray]):
-        r, first, twice = _classes(np.concatenate(pieces))
-        member = np.repeat(twice, np.diff(np.append(first, len(r))))
-        r["twice"][first] = twice
-        send = np.zeros(len(r), bool)
-        send[first] = True
-        settled, sent = r[member & ~send], r[send]
-        order = np.argsort(sent["gram"] % np.uint64(buckets), kind="stable")
-        sent = sent[order]
+        r, first, several = _sorted(pieces)
+        sent = r[first]
+        sent["twice"] = several
+        known = np.repeat(several, np.diff(np.append(first, len(r))))
+        known[first] = False
         where = (sent["gram"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        sent, where = sent[order], where[order]
         cut = np.flatnonzero(np.diff(where, prepend=-1))
         rows = [(int(where[a]), sent[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(sent)))]
-        if len(settled):
-            rows.append((-1 - int(where[0]), settled.tobytes()))
+        if known.any():
+            rows.append((-1 - int(where[0]), r[known].tobytes()))
         return arrow_batch(_BLOB, [[x[0] for x in rows], [x[1] for x in rows]])
 
     def run(batches):
         pieces, held = [], 0
         for batch in chunks(batches, "text"):
             raw, offsets = flat(batch.column("text"))
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            keys = flat(batch.column("key"))[0].view("<u8").reshape(-1, 2)
             for data, at, docs, base in _segments(raw, offsets, length):
-                r = anchors(data, at, length)
-                r["at"] += base[r["key"]]
-                r["key"] = keys[docs[r["key"]]]
+                r = anchors(data, at, length, bits)
+                at_doc = r["k1"].astype(np.int64)
+                r["at"] += base[at_doc]
+                r["k1"], r["k2"] = keys[docs[at_doc]].T
                 pieces.append(r)
                 held += len(data)
             if held >= _FLUSH:
@@ -142,88 +149,84 @@ def _emit_anchors(length: int, buckets: int):
     return run
 
 
-_FOUND = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("gram", pa.int64()), ("domains", pa.int64()), ("ask", pa.bool_())])
-_FOUND_DDL = "key long, at long, n int, o int, gram long, domains long, ask boolean"
+_ASK = pa.schema([("key", pa.binary()), ("at", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("gram", pa.int64())])
+_ASK_DDL = "key binary, at long, n int, o int, gram long"
 
 
-def _found(r: np.ndarray, domains, ask: bool) -> pa.RecordBatch:
-    domains = np.broadcast_to(np.asarray(domains, np.int64), len(r))
-    return arrow_batch(_FOUND, [r["key"], r["at"], r["n"].astype(np.int32), r["o"].astype(np.int32), r["gram"].view(np.int64), domains, np.full(len(r), ask)])
+def _asked(r: np.ndarray) -> pa.RecordBatch:
+    keys = pa.py_buffer(np.stack([r["k1"], r["k2"]], axis=1).tobytes())
+    key = pa.Array.from_buffers(pa.binary(16), len(r), [None, keys]).cast(pa.binary())
+    return arrow_batch(_ASK, [key, pa.array(r["at"]), pa.array(r["n"].astype(np.int32)), pa.array(r["o"].astype(np.int32)), pa.array(r["gram"].view(np.int64))])
 
 
-def _judge_bucket(pieces: list[np.ndarray]):
-    r, first, twice = _classes(np.concatenate(pieces))
-    member = np.repeat(twice, np.diff(np.append(first, len(r))))
-    yield _found(r[member], 0, False)
-    lead = r[first]
-    new = np.flatnonzero(np.diff(lead["gram"], prepend=~lead["gram"][:1]))
-    n = np.diff(np.append(new, len(lead)))
-    several = np.repeat(n, n)
-    yield _found(lead[several > 1], several[several > 1], True)
+def _judge(batches):
+    """The places of grams that occur several times, from blobs sorted by bucket."""
 
+    def bucket_of(pieces):
+        r, first, several = _sorted(pieces)
+        return _asked(np.ascontiguousarray(r[np.repeat(several, np.diff(np.append(first, len(r))))]))
 
-def _judge(batches):
-    """Repeated domains (ask false) and suffixes to compare (ask true), from blobs sorted by bucket."""
     now, pieces = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
             r = np.frombuffer(blob.as_buffer(), _RECORD).copy()
             if bucket < 0:
-                yield _found(r, 0, False)
+                yield _asked(r)
                 continue
             if bucket != now and pieces:
-                yield from _judge_bucket(pieces)
+                yield bucket_of(pieces)
                 pieces = []
             now = bucket
             pieces.append(r)
     if pieces:
-        yield from _judge_bucket(pieces)
+        yield bucket_of(pieces)
 
 
-_SUFFIX = pa.schema([("lead", pa.binary()), ("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("string", pa.binary()), ("one", pa.int64()), ("two", pa.int64())])
-_SUFFIX_DDL = "lead binary, key long, at long, n int, o int, string binary, one long, two long"
+_DOMAIN = pa.schema([("key", pa.binary()), ("at", pa.int64()), ("o", pa.int32()), ("hot", pa.bool_()), ("string", pa.binary())])
+_DOMAIN_DDL = "key binary, at long, o int, hot boolean, string binary"
 
 
-def _fetch(length: int, hot: int):
-    """Suffix rows for the requests that are joined to the texts; of hot grams, window hashes."""
+def _fetch(length: int):
+    """Domain rows for the places asked for, from rows sorted so that a text comes before its places."""
 
     def run(batches):
-        last = None
+        now = raw = last = None
         for batch in chunks(batches, "text"):
-            rows = []
-            for key, text, asks in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("asks").to_pylist()):
-                if key == last:
-                    continue  # another copy of the same text
-                last = key
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                hashed = None
-                for x in asks:
-                    at, n, o = x["at"], x["n"], x["o"]
-                    if x["domains"] > hot:
-                        piece = raw[at : at + n - 1 + length]
-                        start = np.arange(n)
-                        hashed = [p.of(p.prefix(piece), start, start + length).view(np.int64).tolist() for p in (_ONE, _TWO)]
-                        rows += [(None, key, at + i, 1, 0, None, a, b) for i, (a, b) in enumerate(zip(*hashed))]
-                    else:
-                        string = raw[at : at + n - 1 + length].tobytes()
-                        rows.append((string[o : o + length // 2], key, at, n, o, string, None, None))
-            if rows:
-                yield arrow_batch(_SUFFIX, [list(c) for c in zip(*rows)])
+            out: list[tuple] = []
+            held = 0
+            columns = [batch.column(c).to_pylist() for c in ("key", "text", "at", "n", "o", "hot")]
+            for key, text, at, n, o, hot in zip(*columns):
+                if text is not None:
+                    now, raw, last = key, text, None
+                elif key == now and at != last:
+                    last = at
+                    out.append((key, at, o, hot, raw[at : at + n - 1 + length]))
+                    held += n + length
+                if held > 1 << 20:
+                    yield arrow_batch(_DOMAIN, [list(c) for c in zip(*out)])
+                    out, held = [], 0
+            if out:
+                yield arrow_batch(_DOMAIN, [list(c) for c in zip(*out)])
 
     return run
 
 
-def multikey_quicksort(words: np.ndarray, small: int = 32) -> np.ndarray:
-    """Order of the rows of an unsigned word matrix: three-way partition by one word, equal rows by the next."""
-    order = np.arange(len(words))
-    todo = [(0, len(words), 0)]
+def multikey_quicksort(rows: np.ndarray, small: int = 4096) -> np.ndarray:
+    """Order of the rows of a byte matrix of a multiple of eight columns.
+
+    Three-way partition by a word of eight bytes, equal rows by the next; small parts by plain comparison.
+    """
+    rows = np.ascontiguousarray(rows)
+    words, strings = rows.view(">u8"), rows.view(f"S{rows.shape[1]}").reshape(-1)
+    order = np.arange(len(rows))
+    todo = [(0, len(rows), 0)]
     while todo:
         lo, hi, depth = todo.pop()
         if hi - lo < 2 or depth == words.shape[1]:
             continue
         part = order[lo:hi]
         if hi - lo <= small:
-            order[lo:hi] = part[np.lexsort(words[part, depth:].T[::-1])]
+            order[lo:hi] = part[np.argsort(strings[part], kind="stable")]
             continue
         column = words[part, depth]
         sample = column[:: max(1, len(column) // 63)]
@@ -235,53 +238,122 @@ def multikey_quicksort(words: np.ndarray, small: int = 32) -> np.ndarray:
     return order
 
 
-_RANGES = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
+_RANGES = pa.schema([("key", pa.binary()), ("at", pa.int64()), ("n", pa.int32())])
+_RANGES_DDL = "key binary, at long, n int"
+
+
+def _settle(rows: list[tuple], length: int) -> list[tuple]:
+    """Ranges (key, at, n) of repeated windows among rows (lead, key, at, o, a, b, string) sorted by lead."""
+    out, groups, at = [], [], 0
+    while at < len(rows):
+        to = at + 1
+        while to < len(rows) and rows[to][0] == rows[at][0]:
+            to += 1
+        if to - at > 1:
+            run = sorted(rows[at:to], key=lambda r: (r[3], r[6]))
+            keep = [run[0]]
+            for x, y in zip(run, run[1:]):
+                if x[3] == y[3] and x[6] == y[6]:  # neighbours with equal domains: all their windows repeat
+                    out += [_range(z, length) for z in (x, y)]
+                else:
+                    keep.append(y)
+            if len(keep) > 1:
+                groups += keep
+        at = to
+    if groups:
+        out += _sort_windows(groups, length)
+    return out
 
 
-def _compare(length: int):
-    """Windows that occur twice among suffix rows of one bucket, sorted by ``lead``."""
-    gram = length // 2
+def _starts(row: tuple, length: int) -> tuple[int, int]:
+    """First and last window of a row, as places in its string: those that start between a and b bytes before the gram."""
+    _, _, _, o, a, b, string = row
+    return max(0, o - b), min(len(string) - length, o - a)
+
+
+def _range(row: tuple, length: int) -> tuple:
+    i, j = _starts(row, length)
+    return row[1], row[2] + i, j - i + 1
+
+
+def _sort_windows(rows: list[tuple], length: int, most: int = 1 << 16) -> list[tuple]:
+    """Repeated windows of rows, which hold whole runs of equal leads, by order and equal neighbours."""
+    out, at = [], 0
+    while at < len(rows):
+        size, to = 0, at
+        while to < len(rows) and (size < most or rows[to][0] == rows[to - 1][0]):
+            i, j = _starts(rows[to], length)
+            size += j - i + 1
+            to += 1
+        some = rows[at:to]
+        data = np.frombuffer(b"".join(r[6] for r in some), np.uint8)
+        bounds = np.array([_starts(r, length) for r in some])
+        n = bounds[:, 1] - bounds[:, 0] + 1
+        base = np.cumsum([0, *(len(r[6]) for r in some)])[:-1] + bounds[:, 0]
+        row = np.repeat(np.arange(len(some)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = -(-length // 8) * 8
+        view = np.zeros((len(row), wide), np.uint8)
+        view[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[base[row] + place]
+        order = multikey_quicksort(view)
+        words = view.view(np.uint64)[order]
+        same = (words[1:] == words[:-1]).all(axis=1)
+        hit = np.zeros(len(row), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        at_hit = np.flatnonzero(hit)
+        if len(at_hit):
+            cut = np.append(True, (np.diff(at_hit) > 1) | (np.diff(row[at_hit]) > 0))
+            begin = at_hit[cut]
+            last = at_hit[np.append(np.flatnonzero(cut)[1:] - 1, len(at_hit) - 1)]
+            out += [(some[r][1], some[r][2] + int(bounds[r, 0]) + p, k) for r, p, k in zip(row[begin].tolist(), place[begin].tolist(), (last - begin + 1).tolist())]
+        at = to
+    return out
 
-    def settle(rows: list[tuple]):
-        rows = list({(r[0], r[1]): r for r in rows}.values())
-        suffix = [r[4][r[3] : r[3] + gram].ljust(-(-gram // 8) * 8, b"\0") for r in rows]
-        words = np.frombuffer(b"".join(suffix), ">u8").reshape(len(rows), -1).astype(np.uint64)
-        order = multikey_quicksort(words)
-        new = np.ones(len(rows), bool)
-        new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
-        cut = np.append(np.flatnonzero(new), len(rows))
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b - a < 2:
-                continue
-            seen: dict[tuple, tuple] = {}
-            for i in order[a:b].tolist():
-                key, at, n, o, string = rows[i]
-                for j in range(n):  # the window that starts o - j bytes before the anchor
-                    w = (o - j, string[j : j + length])
-                    if w in seen:
-                        out.append((key, at + j))
-                        if seen[w]:
-                            out.append(seen[w])
-                            seen[w] = ()
-                    else:
-                        seen[w] = (key, at + j)
-        return out
+
+def _compare(rows: DataFrame, length: int) -> DataFrame:
+    """Repeated windows (key, at, n) among domain rows, range-partitioned and sorted by their lead."""
 
     def run(batches):
-        now, rows = None, []
+        now, rows, held = None, [], 0
         for batch in batches:
-            for x in zip(batch.column("lead").to_pylist(), *(batch.column(c).to_pylist() for c in ("key", "at", "n", "o", "string"))):
-                if x[0] != now and len(rows) >= 2000:
-                    if out := settle(rows):
-                        yield arrow_batch(_RANGES, [[r[0] for r in out], [r[1] for r in out], [1] * len(out)])
-                    rows = []
+            for x in zip(*(batch.column(c).to_pylist() for c in ("lead", "key", "at", "o", "a", "b", "string"))):
+                if x[0] != now and held > 1 << 21:
+                    if out := _settle(rows, length):
+                        yield arrow_batch(_RANGES, [list(c) for c in zip(*out)])
+                    rows, held = [], 0
                 now = x[0]
-                rows.append(x[1:])
-        if rows and (out := settle(rows)):
-            yield arrow_batch(_RANGES, [[r[0] for r in out], [r[1] for r in out], [1] * len(out)])
-
-    return run
+                rows.append(x)
+                held += len(x[6])
+        if rows and (out := _settle(rows, length)):
+            yield arrow_batch(_RANGES, [list(c) for c in zip(*out)])
+
+    dealt = rows.select("lead", "key", "at", "o", "a", "b", "string").repartitionByRange(parts(rows.sparkSession), "lead").sortWithinPartitions("lead")
+    return dealt.mapInArrow(run, _RANGES_DDL)
+
+
+def _compare_hot(domains: DataFrame, length: int, hot: int, scratch: Scratch) -> list[DataFrame]:
+    """Repeated windows of the domains of hot grams, in tables (key, at, n)."""
+    name = F.concat("string", F.unhex(F.lpad(F.hex("o"), 4, "0")))
+    whole = domains.withColumn("name", name)
+    counts = scratch.save(whole.groupBy("name").agg(F.count("*").alias("n"), F.first(F.struct("key", "at", "o", "string")).alias("r")))
+    again = spread_join(whole.select("name", "key", "at", "string"), counts.where("n > 1").select("name"), "name", counts, domains.count())
+    out = [scratch.save(again.select("key", "at", (F.length("string") - length + 1).cast("int").alias("n")))]
+    now = counts.select("r.*", F.lit(0).alias("a"), F.lit(length - length // 2).alias("b"))
+    while now.limit(1).count():
+        half = F.expr("cast((a + b) div 2 as int)")
+        both = F.array(F.struct(F.col("a").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("b").alias("b")))
+        now = now.withColumn("_t", F.explode(both)).withColumns({"a": F.col("_t.a"), "b": F.col("_t.b")}).drop("_t")
+        now = now.where(f"a <= b AND a <= o AND b >= o - (length(string) - {length})")
+        lead = F.concat(F.unhex(F.lpad(F.hex("a"), 4, "0")), F.expr(f"substring(string, o - a + 1, {length} - b + a)"))
+        now = scratch.save(now.withColumn("lead", lead))
+        many = scratch.save(now.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+        marked = scratch.save(spread_join(now, many.select("lead", F.lit(True).alias("many")), "lead", many, now.count(), "left"))
+        scratch.drop(now)
+        out.append(scratch.save(_compare(marked.where("many IS NULL"), length)))
+        hot_rows = marked.where("many")
+        out.append(hot_rows.where("a = b").select("key", (F.col("at") + F.col("o") - F.col("a")).alias("at"), F.lit(1).alias("n")))
+        now = hot_rows.where("a < b").drop("lead", "many")
+    return out
 
 
 def _cover(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -293,7 +365,7 @@ def _cover(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist()))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024, bits: int = 64) -> DataFrame:
     """Every row of docs with ``kept`` binary and ``spans`` array<struct<start long, end long>>.
 
     Removed is each byte of the UTF-8 text that a ``length``-byte string covers
@@ -301,34 +373,45 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataF
     matches never cross texts.  spans are the maximal removed runs, kept the
     other bytes.  Null or empty texts: empty kept, no spans.  Equal rows are
     separate texts, so long ones lose everything.  Texts are told apart by
-    64-bit hashes, so doc_id is not needed and may be null or repeated.  Other
-    columns pass through; columns named kept or spans are replaced.
+    128-bit digests, so doc_id is not needed and may be null or repeated.  Other
+    columns pass through; columns named kept or spans are replaced.  Grams of
+    over ``hot`` places are dealt by longer leads; ``bits`` of a gram's hash
+    are used to leave out what occurs once.  Neither changes the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix")
     docs = docs.drop("kept", "spans")
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(2 * parts(spark), total // (24 << 20))
-    blobs = texts.where(F.octet_length("text") >= length).mapInArrow(_emit_anchors(length, buckets), "bucket long, blob binary")
-    found = scratch.save(blobs.repartition(parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_judge, _FOUND_DDL))
-
-    asks = found.where("ask").groupBy("key").agg(F.collect_set(F.struct("at", "n", "o", "domains")).alias("asks"))
-    suffixes = scratch.save(texts.where(F.octet_length("text") >= length).join(asks, "key").select("key", "text", "asks").mapInArrow(_fetch(length, hot), _SUFFIX_DDL))
-    sorted_ = suffixes.where("lead IS NOT NULL").repartitionByRange(parts(spark), "lead").sortWithinPartitions("lead")
-    compared = sorted_.select("lead", "key", "at", "n", "o", "string").mapInArrow(_compare(length), "key long, at long, n int")
-    windows = suffixes.where("lead IS NULL").select("one", "two", "key", "at").distinct()
-    twice = windows.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1")
-    hashed = windows.join(twice, ["one", "two"]).select("key", "at", F.lit(1).alias("n"))
-
-    ranges = found.where("NOT ask").select("key", "at", "n").unionByName(compared).unionByName(hashed)
-    ranges = scratch.save(ranges.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("_ranges")))
-    scratch.drop(found, suffixes)
-
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(ranges.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    fields = [f for f in joined.schema.fields if f.name != "_ranges"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    raw = text.cast("binary")
+    long_ = F.octet_length(text) >= length
+    texts = docs.where(long_).select(F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
+    n_rows, total = texts.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    copies = scratch.save(texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = max(2 * parts(spark), (total or 0) // (24 << 20))
+    blobs = texts.mapInArrow(_emit_anchors(length, buckets, bits), "bucket long, blob binary")
+    found = scratch.save(blobs.repartition(parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_judge, _ASK_DDL))
+
+    grams = scratch.save(found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+    asks = spread_join(found, grams.select("gram", F.lit(True).alias("hot")), "gram", grams, found.count(), "left")
+    often = copies.where(F.col("n") > max(1000, n_rows // 1000)).select("key")  # under a thousand
+    once = texts.join(F.broadcast(often), "key", "left_anti").unionByName(texts.join(F.broadcast(often), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    stream = once.select("key", F.lit(0).alias("kind"), "text", *[F.lit(None).cast(t).alias(c) for c, t in (("at", "long"), ("n", "int"), ("o", "int"), ("hot", "boolean"))])
+    stream = stream.unionByName(asks.select("key", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("text"), "at", "n", "o", F.coalesce("hot", F.lit(False)).alias("hot")))
+    domains = scratch.save(stream.repartition(parts(spark), "key").sortWithinPartitions("key", "kind", "at").drop("kind").mapInArrow(_fetch(length), _DOMAIN_DDL))
+    gram = length // 2
+    cold = domains.where("NOT hot").select("key", "at", "o", "string", F.lit(0).alias("a"), F.lit(length - gram).alias("b"), F.expr(f"substring(string, o + 1, {gram})").alias("lead"))
+    ranges = _compare(cold, length)
+    for more in _compare_hot(domains.where("hot"), length, hot, scratch):
+        ranges = ranges.unionByName(more)
+    ranges = ranges.join(copies.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("_ranges"))
+    told = scratch.save(ranges.withColumn("_whole", F.lit(False)).unionByName(copies.select("key", F.lit(None).cast(ranges.schema["_ranges"].dataType).alias("_ranges"), F.lit(True).alias("_whole"))).withColumnRenamed("key", "_key"))
+    scratch.drop(found, grams, domains)
+
+    fields = docs.schema.fields
     names = [f.name for f in fields]
+    short = docs.where(~long_).withColumns({"_ranges": F.lit(None).cast(told.schema["_ranges"].dataType), "_whole": F.lit(False)})
+    joined = spread_join(docs.where(long_).withColumn("_key", F.unhex(F.md5(raw))), told, "_key", copies.withColumnRenamed("key", "_key"), n_rows, "left").drop("_key").unionByName(short)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", span)])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -336,6 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataF
     def cut(batches):
         for batch in chunks(batches, "text", 1 << 20):
             raw, off = flat(batch.column("text"))
+            whole = batch.column("_whole").to_pylist()
             ranges = batch.column("_ranges")
             values, edge = ranges.flatten(), np.cumsum(np.append(0, ranges.value_lengths().fill_null(0).to_numpy()))
             where, count = values.field("at").to_numpy(), values.field("n").to_numpy().astype(np.int64)
@@ -343,7 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataF
             for i in range(batch.num_rows):
                 text = raw[off[i] : off[i + 1]].tobytes()
                 some = slice(edge[i], edge[i + 1])
-                runs = _cover(where[some], count[some], length) if edge[i + 1] > edge[i] else []
+                runs = [(0, len(text))] if whole[i] else _cover(where[some], count[some], length) if edge[i + 1] > edge[i] else []
                 at, left = 0, []
                 for a, b in runs:
                     left.append(text[at:a])
@@ -352,4 +436,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024) -> DataF
                 spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(spans, span_type)], names=[*names, "kept", "spans"])
 
-    return joined.select(*names, "_ranges").mapInArrow(cut, schema)
+    return joined.select(*[F.col(f"`{n}`") for n in names], "_ranges", "_whole").mapInArrow(cut, schema)

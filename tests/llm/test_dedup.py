@@ -139,9 +139,9 @@ def test_op5_equals_brute_force(spark):
 def test_remove_repeats_odd_rows(spark):
     d = with_oddities(spark).withColumn("kept", F.lit(1)).withColumn("spans", F.lit(2))
     rows = d.select("doc_id", "text").collect()
-    for length, hot in ((200, 1024), (30, 1024), (30, 1)):
+    for length, hot, bits in ((200, 1024, 64), (30, 1024, 64), (30, 1, 64), (30, 1024, 3), (30, 2, 3), (31, 3, 0)):
         want = Counter((r.text, k) for r, (k, _, _) in zip(rows, brute_kept([r.text for r in rows], length)))
-        got = remove_repeats(d, length, hot).collect()
+        got = remove_repeats(d, length, hot, bits).collect()
         assert Counter((r.text, bytes(r.kept)) for r in got) == want
     assert remove_repeats(d.limit(0)).count() == 0
 
@@ -158,9 +158,20 @@ def test_long_texts_in_pieces(spark):
 
 def test_multikey_quicksort():
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 3, (500, 4)).astype(np.uint64)
-    got = words[multikey_quicksort(words)]
-    assert got.tolist() == sorted(words.tolist())
+    for small in (1, 32, 4096):
+        rows = rng.choice(np.array([0, 7, 255], np.uint8), (500, 16))
+        rows[::3, :12] = 7
+        assert rows[multikey_quicksort(rows, small)].tolist() == sorted(rows.tolist())
+
+
+def test_hot_grams_with_very_many_contexts(spark):
+    """A passage between ever other words: every domain at its edges differs, and over 1,024 of them share a gram."""
+    passage = prose(3, 12)[:45]
+    rows = [(i, f"{i * 7919 % 99991:05d} {i % 13} " + passage + f" {i * 104729 % 99991:05d} tail") for i in range(1500)] + [(9999, "x" * 100)]
+    want = {i: k for (i, _), (k, _, _) in zip(rows, brute_kept([t for _, t in rows], 40))}
+    for hot in (1024, 16):
+        got = {r.doc_id: bytes(r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, hot).collect()}
+        assert got == want
 
 
 def test_docs_schema_is_read_by_name(spark):
