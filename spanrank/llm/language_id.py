@@ -88,8 +88,8 @@ class Mixture:
     counts has the bins of each language and the n-grams in them.
     """
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], smooth: float = 0.5, grid: int = 8, rounds: int = 12):
-        self.langs, self.rounds = langs, rounds
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], smooth: float = 0.5, grid: int = 8, settled: float = 1e-4):
+        self.langs, self.settled = langs, settled
 
         def likelihood(i: int) -> np.ndarray:
             row = np.zeros(BINS)
@@ -136,8 +136,13 @@ class Mixture:
         return best
 
     def _em(self, hist: np.ndarray, n: np.ndarray, mix: np.ndarray) -> np.ndarray:
-        for _ in range(self.rounds):
-            mix = mix * ((hist / np.maximum(mix @ self.p, 1e-300)) @ self.p.T) / n
+        """Expectation-maximisation of each row until no proportion moves by ``settled`` any more."""
+        mix, at = mix.copy(), np.arange(len(mix))
+        while len(at):
+            now = mix[at]
+            new = now * ((hist[at] / np.maximum(now @ self.p, 1e-300)) @ self.p.T) / n[at]
+            mix[at] = new
+            at = at[np.abs(new - now).max(axis=1) >= self.settled]
         return mix
 
 
