@@ -33,8 +33,8 @@ def path_of(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """The address that a site redirects to: no scheme, fragment, tracking parameters or last slash."""
-    rest = F.regexp_replace(_after(url), r"#.*", "")
-    query = F.array_join(F.filter(F.split(F.regexp_extract(rest, r"\?(.*)", 1), "&"), lambda p: (p != "") & ~p.rlike(rf"\A{TRACKING}(=|\z)")), "&")
+    rest = F.regexp_replace(_after(url), r"(?s)#.*", "")
+    query = F.array_join(F.filter(F.split(F.regexp_extract(rest, r"(?s)\?(.*)", 1), "&"), lambda p: (p != "") & ~p.rlike(rf"\A{TRACKING}(=|\z)")), "&")
     place = F.concat(host_of(url), F.regexp_replace(path_of(url), r"/+\z", ""))
     return F.when(query != "", F.concat(place, F.lit("?"), query)).otherwise(place)
 
