@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, flat, hidden, small_batches
+from .common import Scratch, chunks, flat, hidden, small_batches
 
 # Word bytes stay (A-Z folded), every other byte is a blank; bytes above 7F are word bytes.
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -35,14 +35,14 @@ class SuffixAutomaton:
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        self.full: list[set] = [set()]  # items that have a prefix in the state
+        self.prefixes: list[list] = [[]]  # items of which a prefix ends in the state
         self.short: list[list] = [[]]  # (length, item) of whole short items in the state
         for item, words in items:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
             at = 0
             for c in ids:
                 at = self._extend(at, c)
-                self.full[at].add(item)
+                self.prefixes[at].append(item)
             if 0 < len(ids) < width:
                 self.short[at].append((len(ids), item))
         self._finish()
@@ -51,7 +51,7 @@ class SuffixAutomaton:
         self.next.append(nxt)
         self.len.append(length)
         self.link.append(link)
-        self.full.append(set())
+        self.prefixes.append([])
         self.short.append([])
         return len(self.next) - 1
 
@@ -81,9 +81,23 @@ class SuffixAutomaton:
         return new
 
     def _finish(self) -> None:
-        for s in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            self.full[self.link[s]] |= self.full[s]
-        self.full[0] = set()
+        below: list[list[int]] = [[] for _ in self.len]
+        for s in range(1, len(self.len)):
+            below[self.link[s]].append(s)
+        # a walk of the link tree: the items that hold a state's strings are one stretch of the walk's prefixes
+        self.walk: list = []
+        self.stretch: list[tuple[int, int]] = [(0, 0)] * len(self.len)
+        begun, todo = [0] * len(self.len), [0]
+        while todo:
+            s = todo.pop()
+            if s < 0:
+                self.stretch[~s] = (begun[~s], len(self.walk))
+                continue
+            begun[s] = len(self.walk)
+            self.walk += self.prefixes[s]
+            todo.append(~s)
+            todo += below[s]
+        del self.prefixes
         self.hold = [0] * len(self.len)  # the state of the last ``width`` words of a longer match
         self.ends: list[tuple] = [()] * len(self.len)  # short items that end a match in the state
         for s in sorted(range(1, len(self.len)), key=self.len.__getitem__):
@@ -95,10 +109,11 @@ class SuffixAutomaton:
         """Maximal runs (start, end) of words inside windows, and the items of these windows."""
         ids = map(self.vocab.get, words)
         nxt, link, size, width = self.next, self.link, self.len, self.width
-        hold, ends, full = self.hold, self.ends, self.full
+        hold, ends = self.hold, self.ends
         state = length = 0
         runs: list[list[int]] = []
         items: set = set()
+        held: set = set()  # states of windows that occur
         for i, c in enumerate(ids, 1):
             if c is None:
                 state = length = 0
@@ -117,7 +132,7 @@ class SuffixAutomaton:
             covered = 0
             if length >= width:
                 covered = width
-                items |= full[hold[state]]
+                held.add(hold[state])
             if ends[state]:
                 for n, item in ends[state]:
                     if n <= length:
@@ -131,27 +146,23 @@ class SuffixAutomaton:
                     runs[-1][1] = i
                 else:
                     runs.append([a, i])
+        for s in held:
+            items.update(self.walk[slice(*self.stretch[s])])
         return [(a, b) for a, b in runs], items
 
 
-def item_blocks(items: DataFrame, max_words: int) -> list[list[tuple]]:
-    """(item_id, words) in blocks of at most ``max_words`` words, but an item at least.
-
-    Items arrive a row at a time; the driver holds one block's words and the
-    blocks made so far, which the caller broadcasts one by one.
-    """
-    blocks: list[list[tuple]] = []
-    held = max_words + 1
+def item_blocks(items: DataFrame, max_words: int):
+    """(item_id, words) in blocks of at most ``max_words`` words, but an item at least; made one at a time from rows that arrive one at a time."""
+    block, held = [], 0
     for row in items.select("item_id", "text").toLocalIterator():
         words = words_of((row.text or "").encode())
-        if not words:
-            continue
-        if held + len(words) > max_words:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.item_id, words))
-        held += len(words)
-    return blocks
+        if block and held + len(words) > max_words:
+            yield block
+            block, held = [], 0
+        if words:
+            block.append((row.item_id, words))
+            held += len(words)
+    yield block
 
 
 _built: list = [None, None]
@@ -165,7 +176,18 @@ def _automaton(block, width: int) -> SuffixAutomaton:
     return _built[1]
 
 
-_SCHEMA = "n_words long, hits array<struct<start:long,end:long>>, items array<long>"
+_SCHEMA = "n_words long, hits array<struct<start:long,end:long>>, items array<string>"
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of word spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _scan_block(names: list[str], block, width: int):
@@ -177,13 +199,17 @@ def _scan_block(names: list[str], block, width: int):
             raw, off = flat(batch.column("text"))
             raw = raw.tobytes()
             n, hits, items = [], [], []
+            before = zip(batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()) if "_hits" in names else None
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 words = words_of(raw[a:b])
                 runs, which = automaton.scan(words)
+                if before:
+                    spans_, items_ = next(before)
+                    runs, which = _merged([*runs, *((x["start"], x["end"]) for x in spans_)]), which.union(items_)
                 n.append(len(words))
                 hits.append([{"start": x, "end": y} for x, y in runs])
                 items.append(sorted(which))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.int64()))], names=[*names, "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "hits", "items"])
 
     return run
 
@@ -191,36 +217,36 @@ def _scan_block(names: list[str], block, width: int):
 def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_words: int = 1_000_000) -> DataFrame:
     """Rows of docs with n_words, hits (word spans inside windows, end exclusive) and items (ids).
 
-    Automata are made of item blocks of at most ``max_words`` words, so what is
-    broadcast has a fixed bound (about 500 bytes a word); further blocks scan
-    the rows again, each adding its hits to those of the block before, without
-    a shuffle.  Null, empty or wordless texts have no words and no hits; an
-    empty benchmark hits nothing; items without words and null item ids are
-    ignored.  Columns of docs named n_words, hits or items are replaced.
+    Automata are made of item blocks of at most ``max_words`` words, so what the
+    driver holds and broadcasts at once has a fixed bound (about 1 KB a word).
+    A further block scans the rows again from a written table and adds its hits
+    to those of the blocks before, without a shuffle; its table goes before the
+    next is written.  items are ids as strings, in their order.  Null, empty or
+    wordless texts have no words and no hits; an empty benchmark hits nothing;
+    items without words and null item ids are ignored.  Columns of docs named
+    n_words, hits or items are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("n_words", "hits", "items")
     names = docs.columns
-    blocks = item_blocks(items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text"), max_words) or [[]]
-    out = None
     extra = T._parse_datatype_string(_SCHEMA).fields
-    for block in blocks:
-        source = docs if out is None else out.withColumnsRenamed({"n_words": "_n", "hits": "_hits", "items": "_items"})
-        keep = [f for f in source.schema.fields]
-        found = source.mapInArrow(_scan_block([f.name for f in keep], spark.sparkContext.broadcast(block), width), T.StructType([*keep, *extra]))
+    scratch = Scratch(spark, "decontaminate")
+    out = box = saved = None
+    for block in item_blocks(items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text"), max_words):
+        source = docs
         if out is not None:
-            found = found.withColumn("hits", _merge(F.concat("hits", "_hits"))).withColumn("items", F.array_sort(F.array_union("items", "_items")))
+            before, saved = saved, scratch.save(out)
+            scratch.drop(before)
+            box.destroy()
+            source = saved.withColumnsRenamed({"n_words": "_n", "hits": "_hits", "items": "_items"})
+        box = spark.sparkContext.broadcast(block)
+        keep = source.schema.fields
+        found = source.mapInArrow(_scan_block([f.name for f in keep], box, width), T.StructType([*keep, *extra]))
         out = found.select(*names, "n_words", "hits", "items")
     return out
 
 
-def _merge(spans):
-    """Maximal runs of word spans."""
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<start:long,end:long>>)"), step)
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_words: int = 1_000_000, max_coverage: float = 0.5) -> DataFrame:
     """docs without contaminated passages: same columns, passages cut from the texts.
 

@@ -175,6 +175,13 @@ def test_item_blocks_add_up(spark):
     assert sorted(one) == sorted(many)
 
 
+def test_item_ids_may_be_strings(spark):
+    said = prose(8, 12)
+    items = spark.createDataFrame([("b-2", said), ("a/1", said), (None, said)], "item_id string, text string")
+    (r,) = decontaminate.find_contamination(spark.createDataFrame([("x " + said,)], "text string"), items, max_words=5).collect()
+    assert r["items"] == ["a/1", "b-2"] and [tuple(h) for h in r.hits] == [(1, 13)]
+
+
 # ---- 6 fingerprints
 
 def test_op6_neighbours_and_likeness(spark):
@@ -209,6 +216,7 @@ def test_fingerprints_odd_rows(spark):
 def test_chunks_survive_shifts():
     chunker, text = fingerprints.Chunker(), prose(9, 2000).encode()
     assert fingerprints.likeness(chunker.chunks(text), chunker.chunks(b"some new words in front " + text)) > 0.95
+    assert fingerprints.likeness(chunker.chunks(text[3000:6000]), chunker.chunks(text)) > 0.9  # contained
     ends = chunker.cuts(np.frombuffer(text, np.uint8))
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(text) and sizes[:-1].min() >= 16 and sizes.max() <= 256
@@ -465,7 +473,7 @@ def test_op9_laws(spark):
 
 def test_sharding_odd_rows(spark):
     d = with_oddities(spark)
-    rows = sharding.shuffle_to_shards(d.repartition(5), 4, cell_rows=2).collect()
+    rows = sharding.shuffle_to_shards(d.repartition(5), 4, groups=2, fan=8, cell_rows=2).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in d.collect())
     slots = defaultdict(list)
     for r in rows:
@@ -474,6 +482,17 @@ def test_sharding_odd_rows(spark):
     assert sharding.shuffle_to_shards(d.limit(0)).count() == 0
 
 
+def test_every_place_is_equally_likely(spark):
+    """Two levels of the matrix over uneven partitions: each row's shard and slot have the mean of a uniform deal."""
+    d = spark.range(0, 300, 1, 2).unionByName(spark.range(300, 600, 1, 7))
+    place = np.zeros((600, 2))
+    for seed in range(8):
+        for r in sharding.shuffle_to_shards(d, 4, seed=seed, groups=3, fan=8, cell_rows=30).collect():
+            place[r.id] += (r.shard, r.slot)
+    for part in (place[:300], place[300:], place[::2]):
+        assert abs(part[:, 0].mean() / 8 - 1.5) < 0.12 and abs(part[:, 1].mean() / 8 - 74.5) < 5
+
+
 def test_communication_matrix_sums_and_spread():
     sent, room = [5, 0, 17, 40], [20, 21, 21]
     total = np.zeros((4, 3))
