@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, language_id, minhash_dedup, packing, pii, sharding, suffix_dedup, url_filter
+from . import chat_format, decontaminate, fingerprints, language_id, minhash_dedup, oracles, packing, pii, sharding, suffix_dedup, url_filter
 from .common import table
 
 #: Fixed rules of the URL query.
@@ -81,5 +81,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontaminate, op4_minhash_dedup, op5_suffix_dedup, op6_fingerprints, op7_packing, op8_pii, op9_sharding, op10_url_filter)}
 
-#: None of the ten fits one SQL statement that runs over the whole tables in bounded time; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others have no SQL form: op1, op6 and op8 iterate or hash, op7 needs a tokenizer, op9 draws at random; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_chat_format": oracles.CHAT,
+    "op3_decontaminate": oracles.CONTAMINATION,
+    "op4_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op5_suffix_dedup": oracles.REPEATS,
+    "op10_url_filter": oracles.urls(RULES),
+}

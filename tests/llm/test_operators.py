@@ -1,11 +1,14 @@
 """The other operators against brute force, round trips and held-out accuracy."""
 
 import functools
+import glob
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -18,6 +21,21 @@ from tests.conftest import SF
 from .helpers import docs, prose, with_oddities
 
 
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLES[name]).df()
+    plain = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).where(f.notna(), None).values.tolist()))
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
 # ---- 1 language identification
 
 def test_op1_held_out_accuracy(spark):
