@@ -2,74 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Chunk of UTF-8 text handled at once by a Python task; bounds its memory.
-CHUNK_BYTES = 1 << 18
-
-_roots: dict[str, str] = {}
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for this application's scratch tables.
+from ..sources.scratch import Scratch, checkpoint_root, delete_path
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
-    that is unset (tests on one machine) a temporary folder is set as the
-    checkpoint directory instead.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-            spark.sparkContext.setCheckpointDir(base)
-        _roots[app] = f"{base.rstrip('/')}/scratch-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_forget, spark, _roots[app])
-    return _roots[app]
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete_path(spark, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete saved tables that no later plan reads."""
-        for t in tables:
-            if getattr(t, "_scratch_path", None):
-                delete_path(self.spark, t._scratch_path)
+__all__ = ["Scratch", "checkpoint_root", "delete_path"]
 
+# Chunk of UTF-8 text handled at once by a Python task; bounds its memory.
+CHUNK_BYTES = 1 << 18
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -175,7 +175,7 @@ def _count(table: DataFrame, key: str) -> DataFrame:
     return table.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 256, part: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 128, part: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
 
     Rows are linked when ``100 * |A & B| >= percent * |A | B|`` over the

@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from spanrank.llm import decontaminate, pii
 from tests.conftest import SF
 
-from .helpers import docs, with_oddities
+from .helpers import docs, prose, with_oddities
 from .test_dedup import brute_classes
 from .test_operators import brute_base, brute_hits, brute_patterns, check_packing
 
@@ -50,6 +50,16 @@ def test_stages_on_their_own_input(spark):
         before = after
 
 
+def test_near_duplicate_stage_judges_rows_by_text(spark):
+    """Ids that are null or repeated neither protect a copy nor lose a text."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(None, a), (None, a), (5, b), (5, c), (5, c), (4, b), (None, c), (None, prose(4, 60))]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    got = cp.drop_near_duplicates(spark, d, SF)
+    assert got.columns == d.columns
+    assert sorted(map(repr, got.select("doc_id", "text").collect())) == sorted(map(repr, d.select("doc_id", "text").where("false").union(spark.createDataFrame([(None, a), (4, b), (5, c), (None, prose(4, 60))], "doc_id long, text string")).collect()))
+
+
 def test_run_gives_the_last_stage(spark):
     out = cp.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
