@@ -20,11 +20,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class (five words, similarity 0.8) stays, that with the least doc_id."""
-    classes = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
-    kept = classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each class (five words, similarity 0.8) stays: that with the least doc_id, rows without one last.
+
+    Rows are told apart by a number of their own, so rows that share a doc_id or
+    have none are judged by their texts like all others.
+    """
+    inner, named = hidden(docs, "doc_id", "text")
+    rows = Scratch(spark, "near").save(inner.withColumn("_row", F.monotonically_increasing_id()))  # written, so a row keeps its number
+    classes = minhash_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    members = classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")).join(rows.select("_row", "doc_id"), "_row")
+    kept = members.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("m")).select("m._row")
+    return named(rows.join(kept, "_row", "left_semi"))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import Scratch
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 15) -> DataFrame:
     """(node, rank) of edges(src, dst): seeds(node) start with weight 1, others with 0.05; all alike without seeds.
 
-    Nodes without outgoing edges pass nothing on.  Every fifth round is
-    checkpointed if the context has a checkpoint directory.
+    Nodes without outgoing edges pass nothing on.  Edges with their sources'
+    degrees and the nodes are written once, and the ranks every third round:
+    the rounds' plans stay short and read a lineage that is on shared storage.
     """
-    edges = edges.select("src", "dst").distinct()
+    scratch = Scratch(edges.sparkSession, "pagerank")
+    edges = scratch.save(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     base = nodes.withColumn("b", F.lit(1.0)) if seeds is None else nodes.join(seeds.select("node").distinct().withColumn("s", F.lit(1.0)), "node", "left").select("node", F.coalesce("s", F.lit(0.05)).alias("b"))
     base = base.crossJoin(F.broadcast(base.agg(F.sum("b").alias("t")))).select("node", (F.col("b") / F.col("t")).alias("base"))  # one row
-    out = edges.join(edges.groupBy("src").agg(F.count("*").alias("k")), "src")
-    rank = base.select("node", F.col("base").alias("rank"))
+    base = scratch.save(base)
+    out = scratch.save(edges.join(edges.groupBy("src").agg(F.count("*").alias("k")), "src"))
+    rank, kept = base.select("node", F.col("base").alias("rank")), None
     for i in range(rounds):
         sent = out.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("in"))
         rank = base.join(sent, "node", "left").select("node", ((1 - damping) * F.col("base") + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4 and i + 1 < rounds and edges.sparkSession.sparkContext.getCheckpointDir():
-            rank = rank.checkpoint()
+        if i % 3 == 2 and i + 1 < rounds:
+            before, kept = kept, scratch.save(rank)
+            scratch.drop(before)
+            rank = kept
     return rank
 
 

@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -94,18 +95,19 @@ def learned_column(patterns: Column) -> Column:
 def train_router(samples, rate: float = 0.5, rounds: int = 400) -> list[float]:
     """Logistic weights by full-batch descent on a DataFrame (patterns array<string>, label double).
 
-    Every round is one distributed sum of the gradient; only seven numbers come back.
+    Samples of equal features count together: one distributed count gives a row
+    for each distinct vector of seven features and label, which the rounds run
+    over.  Lengths are averaged over the patterns, so there are few of them.
     """
     features = F.pandas_udf(lambda s: pd.Series([router_features(list(p)) for p in s]), "array<double>")
-    data = samples.select(features("patterns").alias("x"), F.col("label").cast("double").alias("y")).cache()
-    n, w = data.count(), [0.0] * 7
-    for _ in range(rounds if n else 0):
-        z = sum((F.lit(a) * F.col("x")[i] for i, a in enumerate(w)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-        row = data.agg(*[F.sum((p - F.col("y")) * F.col("x")[i]).alias(f"g{i}") for i in range(7)]).first()
-        w = [a - rate * g / n for a, g in zip(w, row)]
-    data.unpersist()
-    return w
+    rows = samples.select(features("patterns").alias("x"), F.col("label").cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+    w = np.zeros(7)
+    if rows:
+        x, y, n = np.array([r.x for r in rows]), np.array([r.y for r in rows]), np.array([r.n for r in rows], float)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w = w - rate * ((p - y) * n) @ x / n.sum()
+    return w.tolist()
 
 
 def accuracy(weights: Sequence[float], rows: Sequence[tuple[Sequence[str], float]]) -> float:
@@ -137,6 +139,16 @@ class Matcher:
                 self.python = True
             self.java.append(f"(?iU)(?:{p})")
 
+    def narrowed(self, files, column: str):
+        """files without texts that no line can match, as far as that shows without cutting lines.
+
+        Where a pattern looks beyond what it matches (anchors, borders, groups
+        of the form ``(?``), a line may match though its text doesn't: then all stay.
+        """
+        if self.python or any(re.search(r"[\^$]|\\[AzZGbBRXQ]|\(\?|[*+?}]\+", p.removeprefix("(?iU)(?:")) for p in self.java):
+            return files
+        return files.where(self.any(F.col(column)))
+
     def any(self, text: Column) -> Column:
         out = F.lit(False)
         for p in self.java:

@@ -44,16 +44,21 @@ def stem(term: Column) -> Column:
     return out.otherwise(term)
 
 
-def semantic_tokens(text: Column) -> Column:
-    """Stemmed subwords of snake_case and camelCase words, and whole words of several subwords."""
+def words(text: Column) -> Column:
+    """Words ``[A-Za-z0-9_]{3,}`` as they stand."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9_]{3,}"), F.lit(0))
+
 
-    def of_word(word: Column) -> Column:
-        pieces = F.split(F.regexp_replace(word, "(?<=[a-z0-9])(?=[A-Z])", "_"), "_")
-        kept = F.filter(F.transform(pieces, F.lower), lambda s: F.length(s) >= 3)
-        return F.concat(F.transform(kept, stem), F.when(F.size(kept) > 1, F.array(F.lower(word))).otherwise(F.array().cast("array<string>")))
+def word_tokens(word: Column) -> Column:
+    """Stemmed subwords of a snake_case or camelCase word, and the whole word if it has several."""
+    pieces = F.split(F.regexp_replace(word, "(?<=[a-z0-9])(?=[A-Z])", "_"), "_")
+    kept = F.filter(F.transform(pieces, F.lower), lambda s: F.length(s) >= 3)
+    return F.concat(F.transform(kept, stem), F.when(F.size(kept) > 1, F.array(F.lower(word))).otherwise(F.array().cast("array<string>")))
 
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9_]{3,}"), F.lit(0))
-    return F.flatten(F.transform(words, of_word))
+
+def semantic_tokens(text: Column) -> Column:
+    """Stemmed subwords of snake_case and camelCase words, and whole words of several subwords."""
+    return F.flatten(F.transform(words(text), word_tokens))
 
 
 def query_tokens(text: Column) -> Column:

@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.patterns import Matcher
 
-_GROUPS = "array<struct<first:int,last:int,hits:int,pats:array<int>>>"
-
-
 def with_hits(files: DataFrame, matcher: Matcher) -> DataFrame:
     """files(file, text) with lines and hits: array of (ln 0-based, pats indices) for matching lines."""
-    lined = files.select("file", X.line_array(F.col("text")).alias("lines"))
+    lined = matcher.narrowed(files, "text").select("file", X.line_array(F.col("text")).alias("lines"))
     flagged = lined.withColumn("flags", matcher.flags(F.col("lines")))
     hits = F.filter(F.transform("flags", lambda p, i: F.struct(i.alias("ln"), p.alias("pats"))), lambda h: F.size(h["pats"]) > 0)
     return flagged.withColumn("hits", hits).drop("flags").where(F.size("hits") > 0)
@@ -29,23 +26,31 @@ def line_hits(files: DataFrame, matcher: Matcher) -> DataFrame:
     return found.select("file", (F.col("h.ln") + 1).alias("ln"), X.bare(F.element_at("lines", F.col("h.ln") + 1)).alias("line"), F.size("h.pats").alias("n_patterns"))
 
 
-def merged(hits: Column, reach: int) -> Column:
-    """Groups of hits of which neighbours are at most ``reach`` lines apart."""
+def with_groups(found: DataFrame, reach: int) -> DataFrame:
+    """found(..., hits) with groups: array of (first, last, hits, pats, at) of hits of which neighbours are at most ``reach`` lines apart.
 
-    def step(acc, h):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (h["ln"] - last["last"] <= reach)
-        grown = F.struct(last["first"].alias("first"), h["ln"].alias("last"), (last["hits"] + 1).alias("hits"), F.array_union(last["pats"], h["pats"]).alias("pats"))
-        new = F.struct(h["ln"].alias("first"), h["ln"].alias("last"), F.lit(1).alias("hits"), h["pats"].alias("pats"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+    A group runs from one break to the next, so each hit is looked at once; at
+    holds its hits' lines.
+    """
+    breaks = F.filter(F.transform("hits", lambda h, i: F.when((i == 0) | (h["ln"] - F.get("hits", i - 1)["ln"] > reach), i)), lambda i: i.isNotNull())
+    marked = found.withColumn("_breaks", breaks)
 
-    return F.aggregate(hits, F.array().cast(_GROUPS), step)
+    def group(i, k):
+        part = F.slice("hits", i + 1, F.coalesce(F.get("_breaks", k + 1), F.size("hits")) - i)
+        at = F.transform(part, lambda h: h["ln"])
+        return F.struct(F.element_at(at, 1).alias("first"), F.element_at(at, -1).alias("last"), F.size(at).alias("hits"), F.array_distinct(F.flatten(F.transform(part, lambda h: h["pats"]))).alias("pats"), at.alias("at"))
+
+    return marked.withColumn("groups", F.transform("_breaks", group)).drop("_breaks")
 
 
 def hit_groups(files: DataFrame, matcher: Matcher, before: int, after: int) -> DataFrame:
-    """(file, lines, first, last, hits, pats) of every merged group."""
-    found = with_hits(files, matcher).select("file", "lines", F.explode(merged(F.col("hits"), before + after)).alias("g"))
-    return found.select("file", "lines", "g.*")
+    """(file, lines, first, last, hits, pats) of every merged group.
+
+    A plain explode would have a filter inferred on the groups, which the
+    optimizer evaluates below, inside the lambda functions that read the hits.
+    """
+    found = with_groups(with_hits(files, matcher), before + after).select("file", "lines", F.explode_outer("groups").alias("g")).where("g IS NOT NULL")
+    return found.select("file", "lines", "g.first", "g.last", "g.hits", "g.pats")
 
 
 def chunk_columns(found: DataFrame, matcher: Matcher) -> DataFrame:

@@ -18,6 +18,7 @@ from .functions import text as X
 from .functions.constants import PHRASE_STOP
 from .operators import blocks, dedupe, evidence, grep, history, index, pack, score
 from .plans.search import SearchConfig, candidates, search
+from .sources.scratch import saved
 from .streaming import refresh
 
 PATTERNS = ["thr[a-z]+", "und", "tion[a-z]", "xyzzy"]
@@ -39,9 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents; rows are dealt anew where the scan has fewer tasks than the cluster has cores (few files, few row groups)."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.select("doc_id").rdd.getNumPartitions() < cores else docs
+
+
 def documents(spark, sf_dir) -> DataFrame:
     """Documents as files, named by a padded id so that names sort like ids."""
-    return table(spark, sf_dir, "documents").select(F.format_string("%012d", "doc_id").alias("file"), "text")
+    return texts(spark, sf_dir).select(F.format_string("%012d", "doc_id").alias("file"), "text")
 
 
 def code(spark, sf_dir) -> DataFrame:
@@ -180,7 +188,7 @@ _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{s}') AND length(t) - {len(s)} >
 s AS (SELECT lower(w) AS whole, list_filter([lower(x) FOR x IN string_split(regexp_replace(w, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '_')], lambda x: length(x) >= 3) AS p FROM w),
 t AS (SELECT {_STEM} AS token FROM (SELECT unnest(p) AS t FROM s) UNION ALL SELECT whole FROM s WHERE len(p) > 1) SELECT token, count(*) AS n FROM t GROUP BY token""")
 def semantic_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(X.semantic_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return score.semantic_counts(texts(spark, sf_dir).select("text"), "text")
 
 
 TF = "tf AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS t FROM documents) GROUP BY ALL)"
@@ -204,8 +212,8 @@ qv AS (SELECT q.term, c * coalesce(idf, ln(1 + n)) AS qw FROM q LEFT JOIN idf US
 s AS (SELECT doc_id, sum(coalesce(qw, 0) * tf * idf) AS dot, sqrt(sum((tf * idf) ** 2)) AS dn FROM tf JOIN idf USING (term) LEFT JOIN qv USING (term) GROUP BY doc_id)
 SELECT doc_id, round(dot / (dn * qn), 6) AS cos FROM s, qn WHERE dot > 0""")
 def tfidf_cosine(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score.cosine_to_query(docs, ["doc_id"], "text", _Q, spark).select("doc_id", F.round("cos", 6).alias("cos"))
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    return score.cosine_to_query(docs, ["doc_id"], "text", _Q, spark, saved).select("doc_id", F.round("cos", 6).alias("cos"))
 
 
 @register(f"""WITH tf AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')) AS t FROM documents) GROUP BY ALL),
@@ -216,7 +224,7 @@ s AS (SELECT qid, doc_id, round(sum(qw * ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 40""")
 def bm25_topk(spark, sf_dir):
     cut = documents(spark, sf_dir).select("file", F.lit(0).alias("lo"), F.lit(1).alias("hi"), "text")
-    built = index.build_index(cut, X.terms(F.col("text")))
+    built = index.build_index(cut, X.terms(F.col("text")), saved)
     found = index.bm25(built, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), X.terms(F.col("text")))
     return found.select("qid", F.col("file").cast("long").alias("doc_id"), "score", "rank")
 
