@@ -29,13 +29,6 @@ C_LIKE_OPEN = (
     r"|interface|type|module|package)\b"
 )
 C_LIKE_CLOSE = r"^\s*[\}\)]"
-
-COMMON_TERMS = frozenset(
-    "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by "
-    "from as into through then return void int char bool float double auto class struct enum public private protected static virtual const "
-    "inline true false null nullptr this self new delete using namespace import export def if else while and or not none pass try except "
-    "finally lambda yield async await".split()
-)
 PHRASE_STOP = frozenset(
     "the a an and or of to in for with when where how why what which does do did is are was were be been should could would can will my our "
     "this that these those it its on at by from into over under not no if then than so make makes made use uses using get gets sets set".split()

@@ -95,6 +95,13 @@ def is_vendor_path(file: Column) -> Column:
     return out
 
 
+def relative_path(file: Column, root: str) -> Column:
+    """A path below ``root`` with forward slashes and without the root; other paths only get the slashes."""
+    path = F.replace(file, F.lit("\\"), F.lit("/"))
+    prefix = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+
+
 def language(file: Column) -> Column:
     """python, c_like or brace, by extension."""
     ext = F.regexp_extract(F.lower(file), r"(\.[^./\\]+)\z", 1)

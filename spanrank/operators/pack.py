@@ -39,18 +39,31 @@ def overlaps(c: Candidate, picked: list[Candidate]) -> bool:
     return any(p.file == c.file and c.start <= p.end and p.start <= c.end for p in picked)
 
 
+def clear_of(spans: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows of spans(file, lo, hi) that meet none of taken(file, first, last) of their file; both ends count."""
+    met = (spans["file"] == taken["file"]) & (spans["lo"] <= taken["last"]) & (taken["first"] <= spans["hi"])
+    return spans.join(taken, met, "left_anti")
+
+
+#: Kinds of chunks that an objective reserves room for, in this order.
+RESERVED = {"auto": ("definition", "caller", "test"), "def+caller": ("definition", "caller"), "def+test": ("definition", "test"), "single": ()}
+
+
 def guaranteed(ranked: list[Candidate], objective: str) -> list[Candidate]:
-    """Candidates that the objective reserves room for, in rank order of their kinds."""
-    if objective == "single" or not ranked:
-        return []
-    first = lambda test: next(filter(test, ranked), None)
-    defines = lambda c: "definition" in c.reasons
-    out = [c for c in [first(lambda c: defines(c) and not c.test) or first(defines)] if c]
-    anchor = (out or ranked)[0].file
-    if objective in ("auto", "def+caller"):
-        out += [c for c in [first(lambda c: c.file != anchor and not c.test and c not in out)] if c]
-    if objective in ("auto", "def+test"):
-        out += [c for c in [first(lambda c: c.test and c not in out)] if c]
+    """The first candidate by rank of each reserved kind.
+
+    A definition outside of tests goes before one in a test; a caller stands
+    in another file than the definition (or the best candidate) and in no test.
+    """
+    out: list[Candidate] = []
+    for kind in RESERVED.get(objective, ()) if ranked else ():
+        home = (out or ranked)[0].file
+        fits = {
+            "definition": [c for wanted in (False, True) for c in ranked if "definition" in c.reasons and c.test == wanted],
+            "caller": [c for c in ranked if not c.test and c.file != home],
+            "test": [c for c in ranked if c.test],
+        }[kind]
+        out += [c for c in fits if c not in out][:1]
     return out
 
 

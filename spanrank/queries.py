@@ -229,11 +229,30 @@ def bm25_topk(spark, sf_dir):
     return found.select("qid", F.col("file").cast("long").alias("doc_id"), "score", "rank")
 
 
-@register()
+_WINDOWS = """cut AS (SELECT file, lo, least(n, lo + 60) AS hi FROM (SELECT file, n, unnest(range(0, n, 40)) AS lo FROM (SELECT file, max(ln) AS n FROM doc_lines GROUP BY file)) WHERE lo = 0 OR lo - 40 + 60 < n),
+tf AS (SELECT file, lo, hi, t AS term, count(*) AS tf FROM (SELECT c.file, lo, hi, unnest(regexp_extract_all(lower(line), '[a-z0-9_]{3,}')) AS t FROM cut c JOIN doc_lines d ON d.file = c.file AND d.ln > lo AND d.ln <= hi) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM cut), q AS (SELECT item_id AS qid, t AS term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS t FROM benchmark) GROUP BY ALL)"""
+
+
+def _window_sql(share: str, unseen: str) -> str:
+    return f"""WITH {DOC_LINES}, {_WINDOWS}, idf AS (SELECT term, ln({share}) AS idf FROM tf, n GROUP BY term),
+qv AS (SELECT qid, q.term, c * coalesce(idf, {unseen}) AS qw FROM q LEFT JOIN idf USING (term), n), qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qn FROM qv GROUP BY qid),
+w AS (SELECT file, lo, hi, term, tf * idf AS w FROM tf JOIN idf USING (term)), dn AS (SELECT file, lo, hi, sqrt(sum(w * w)) AS dn FROM w GROUP BY ALL),
+s AS (SELECT qid, file, lo, hi, round(any_value(dot) / (any_value(dn) * any_value(qn)), 6) AS cos FROM (SELECT qid, file, lo, hi, sum(w * qw) AS dot FROM w JOIN qv USING (term) GROUP BY ALL) JOIN dn USING (file, lo, hi) JOIN qn USING (qid) GROUP BY ALL)
+SELECT qid, file, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, cos, CAST(row_number() OVER (PARTITION BY qid ORDER BY cos DESC, file DESC, lo DESC) AS INT) AS rank FROM s WHERE cos > 0 QUALIFY rank <= 40"""
+
+
+@register(_window_sql("1 + any_value(n) / (1 + count(*))", "ln(1 + n)"))
 def tfidf_window_recall(spark, sf_dir):
     return index.tfidf_windows(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
+@register(_window_sql("any_value(n) / (1 + count(*))", "0"))
+def tfidf_plain_windows(spark, sf_dir):
+    """The baseline whose idf may be negative."""
+    return index.tfidf_windows(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), smooth=False)
+
+
 @register("""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT qid, vec_id AS id, round(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS sim FROM q, embeddings)
 SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INT) AS rank FROM s WHERE sim > 0 QUALIFY rank <= 40""")
@@ -243,7 +262,16 @@ def dense_topk(spark, sf_dir):
     return index.dense_top(vectors, asked).select("qid", "id", "rank")
 
 
-@register()
+_COS = "round(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6)"
+
+
+@register(f"""WITH q AS (SELECT vec_id AS qid, label, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT qid, vec_id AS id, {_COS} AS sim FROM q, embeddings WHERE {_COS} > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) <= 40),
+l AS (SELECT qid, vec_id AS id, 10.0 / (1 + abs(qid - vec_id)) AS score FROM q JOIN embeddings e USING (label) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) <= 40),
+b AS (SELECT qid, id, coalesce(score, 0.0) AS s, coalesce(sim, 0.0) AS d FROM l FULL JOIN d USING (qid, id)),
+f AS (SELECT qid, id, d, round((s / greatest(max(s) OVER (PARTITION BY qid), 1e-12) + d / greatest(max(d) OVER (PARTITION BY qid), 1e-12)) / 2, 9) AS fused FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, id DESC) AS rank, row_number() OVER (PARTITION BY qid ORDER BY d DESC, fused DESC, id DESC) AS dr FROM f)
+SELECT qid, id, fused, CAST(rank AS INT) AS rank FROM r WHERE rank <= 40 OR dr <= 40""")
 def hybrid_fusion(spark, sf_dir):
     """Labels stand for the lexical list: vectors of the query's label score by closeness of id."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -256,9 +284,19 @@ def hybrid_fusion(spark, sf_dir):
 
 # ---- duplicates
 
-@register("SELECT md5(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@register("SELECT source AS file, doc_id AS line_start, substr(md5(text), 1, 8) AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars DESC, source, doc_id) = 1")
 def exact_duplicates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    """Documents as chunks of their source: of equal texts the first by score, file and place stays."""
+    docs = texts(spark, sf_dir).where("text IS NOT NULL")
+    chunks = docs.select(F.col("source").alias("file"), F.col("doc_id").alias("line_start"), F.col("doc_id").alias("line_end"), F.col("n_chars").cast("double").alias("score"), F.md5("text").alias("hash"), F.md5("text").alias("copies"), F.lit("").alias("code"))
+    return dedupe.dedupe(chunks, 2.0, "copies").select("file", "line_start", F.substring("hash", 1, 8).alias("hash"))
+
+
+@register("SELECT substr(md5(text), 1, 8) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def copy_groups(spark, sf_dir):
+    """Sizes of the groups of equal documents, summed on both sides of the exchange."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1").select(F.substring("h", 1, 8).alias("hash"), "copies", "first_id")
 
 
 @register(f"""WITH {DOC_LINES}, n AS (SELECT file, max(ln) AS n FROM doc_lines GROUP BY file),
@@ -296,14 +334,14 @@ def lifted(spark, sf_dir):
     return history.lift(history.pairs(ch), history.frequencies(ch).withColumnRenamed("file", "item"), F.lit(n).cast("double"))
 
 
-@register(f"WITH {_PAIRS} SELECT a, b, c FROM p WHERE c >= 2")
+@register(f"WITH {_PAIRS} SELECT a, b, c FROM p")
 def cochange_pairs(spark, sf_dir):
-    return history.pairs(changes(spark, sf_dir)).where("c >= 2")
+    return history.pairs(changes(spark, sf_dir))
 
 
-@register(f"WITH {_LIFT} SELECT a, b, c, round(r, 6) AS r FROM r WHERE c >= 2")
+@register(f"WITH {_LIFT} SELECT a, b, c, round(r, 6) AS r FROM r")
 def cochange_lift(spark, sf_dir):
-    return lifted(spark, sf_dir).where("c >= 2").select("a", "b", "c", F.round("r", 6).alias("r"))
+    return lifted(spark, sf_dir).select("a", "b", "c", F.round("r", 6).alias("r"))
 
 
 _CHURN = """sz AS (SELECT cid, count(*) AS k FROM ch GROUP BY cid), now AS (SELECT max(epoch(o_orderdate)) AS now FROM orders),
@@ -336,8 +374,11 @@ def file_fusion(spark, sf_dir):
 
 # ---- packing and evidence
 
-@register(f"""WITH {DOC_LINES}, {HITS}, t AS (SELECT file, count(*) AS hits FROM hits GROUP BY file), s AS (SELECT file, hits, CAST(greatest(1, length(text) // 4) AS INT) AS tokens FROM t JOIN (SELECT printf('%012d', doc_id) AS file, text FROM documents) USING (file)),
-r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY hits DESC, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s) SELECT file, CAST(hits AS INT) AS hits, tokens FROM r WHERE used < 20000""")
+_READ = """t AS (SELECT file, count(*) AS hits FROM hits GROUP BY file), s AS (SELECT file, hits, CAST(greatest(1, length(text) // 4) AS INT) AS tokens FROM t JOIN (SELECT printf('%012d', doc_id) AS file, text FROM documents) USING (file)),
+r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY hits DESC, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s)"""
+
+
+@register(f"WITH {DOC_LINES}, {HITS}, {_READ} SELECT file, CAST(hits AS INT) AS hits, tokens FROM r WHERE used < 20000")
 def read_until_budget(spark, sf_dir):
     ranked = strategies.whole_files(documents(spark, sf_dir), P.Matcher(spark, PATTERNS))
     return metrics.read_until(ranked, 20000).select("file", "hits", "tokens")
@@ -349,7 +390,17 @@ def _per_language(spark, sf_dir):
     return rows.withColumn("rank_pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row")))
 
 
-@register()
+@register("""WITH RECURSIVE c AS (SELECT lang AS qid, doc_id AS r, source AS f, CAST(doc_id % 50 AS DOUBLE) AS s, greatest(1, length(text) // 4) AS t FROM documents WHERE lang IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, r) AS k FROM c),
+caller AS (SELECT o.* FROM o JOIN o AS a ON a.qid = o.qid AND a.k = 1 AND o.f <> a.f QUALIFY row_number() OVER (PARTITION BY o.qid ORDER BY o.k) = 1),
+p(qid, n, rows, files, used) AS (
+  SELECT q.qid, 0, CASE WHEN t <= 4000 THEN [r] ELSE [] END, CASE WHEN t <= 4000 THEN [f] ELSE [] END, CASE WHEN t <= 4000 THEN t ELSE 0 END FROM (SELECT DISTINCT qid FROM o) q LEFT JOIN caller USING (qid)
+  UNION ALL SELECT qid, n + 1, list_append(rows, r), list_append(files, f), used + t FROM (
+    SELECT p.*, o.r, o.f, o.t FROM p JOIN o ON o.qid = p.qid AND NOT list_contains(p.rows, o.r) AND p.used + o.t <= 4000
+    QUALIFY row_number() OVER (PARTITION BY p.qid ORDER BY o.s - 6 * len(list_filter(p.files, lambda x: x = o.f)) DESC, o.k) = 1)),
+e AS (SELECT qid, max(n) AS n FROM p GROUP BY qid),
+l AS (SELECT qid, unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i FROM p JOIN e USING (qid, n))
+SELECT qid, r AS row, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, i) AS INT) AS place FROM l JOIN o USING (qid, r)""")
 def budget_pack(spark, sf_dir):
     """Each language's documents packed into 4,000 tokens with a discount for the same source."""
     return pack.pack(_per_language(spark, sf_dir), 4000).drop("cut")
@@ -359,36 +410,162 @@ def budget_pack(spark, sf_dir):
 s AS (SELECT file, ln - 1 AS lo, ln + 2 AS hi FROM hits) SELECT file, CAST(lo AS INT) AS lo FROM s WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.file = s.file AND s.lo <= top.b * 6 + 5 AND top.b * 6 <= s.hi)""")
 def overlap_antijoin(spark, sf_dir):
     hits = grep.line_hits(documents(spark, sf_dir), P.Matcher(spark, PATTERNS))
-    top = hits.groupBy("file", F.expr("(ln - 1) div 6").alias("b")).agg(F.count("*").alias("n")).where("n >= 3").select("file", "b")
+    top = hits.groupBy("file", F.expr("(ln - 1) div 6").alias("b")).agg(F.count("*").alias("n")).where("n >= 3").select("file", (F.col("b") * 6).alias("first"), (F.col("b") * 6 + 5).alias("last"))
     spans = hits.select("file", (F.col("ln") - 1).alias("lo"), (F.col("ln") + 2).alias("hi"))
-    return spans.join(top, (spans.file == top.file) & (spans.lo <= top.b * 6 + 5) & (top.b * 6 <= spans.hi), "left_anti").select("file", "lo")
+    return pack.clear_of(spans, top).select("file", "lo")
 
 
 @register(f"""WITH {CODE}, d AS (SELECT file, ln, line, CASE WHEN starts_with(file, 'tests/') THEN 1 ELSE 0 END AS test, row_number() OVER (ORDER BY file, ln) AS pos FROM code_lines WHERE contains(line, 'def red_')),
 best AS (SELECT * FROM d WHERE test = 0 ORDER BY pos LIMIT 1), caller AS (SELECT d.* FROM d, best WHERE d.file <> best.file AND d.test = 0 ORDER BY d.pos LIMIT 1), tst AS (SELECT * FROM d WHERE test = 1 ORDER BY pos LIMIT 1)
 SELECT 'definition' AS slot, file, CAST(ln AS INT) AS line_start FROM best UNION ALL SELECT 'caller', file, CAST(ln AS INT) FROM caller UNION ALL SELECT 'test', file, CAST(ln AS INT) FROM tst""")
 def objective_slots(spark, sf_dir):
-    """The slots as aggregates: the least place of each kind, no row leaves its executor but three."""
+    """The guarantees of the packer: with room for three tokens it takes what the objective reserves.
+
+    Of the definitions only the first of each file can be one of them, so only
+    these go to the packer.
+    """
     lines = code(spark, sf_dir).select("file", F.posexplode(X.line_array(F.col("text"))).alias("i", "line")).where(F.col("line").contains("def red_"))
-    rows = lines.select("file", (F.col("i") + 1).alias("line_start"), X.is_test_path(F.col("file")).alias("test"))
-    place = F.struct("file", "line_start")
-    best = rows.where("NOT test").agg(F.min(place).alias("m")).select(F.lit("definition").alias("slot"), "m.*")
-    caller = rows.where("NOT test").join(F.broadcast(best.select(F.col("file").alias("anchor"))), F.col("file") != F.col("anchor")).agg(F.min(place).alias("m")).select(F.lit("caller").alias("slot"), "m.*")
-    tested = rows.where("test").agg(F.min(place).alias("m")).select(F.lit("test").alias("slot"), "m.*")
-    return best.unionByName(caller).unionByName(tested).where("file IS NOT NULL")
+    first = lines.groupBy("file").agg((F.min("i") + 1).cast("int").alias("line_start")).withColumn("qid", F.lit(0))
+    slim = first.select("qid", F.xxhash64("file", "line_start").alias("row"), F.row_number().over(Window.partitionBy("qid").orderBy("file")).alias("rank_pos"), "file", "line_start", F.col("line_start").alias("line_end"), F.lit(1.0).alias("score"), F.lit(1).alias("tokens"), F.array(F.lit("definition")).alias("rank_reason"), F.lit(False).alias("recall"))
+    chosen = slim.join(pack.pack(slim, 3).select("row"), "row").withColumn("test", X.is_test_path(F.col("file")))
+    best = F.min(F.when(~F.col("test"), F.col("rank_pos"))).over(Window.partitionBy("qid"))
+    return chosen.select(F.when(F.col("test"), "test").when(F.col("rank_pos") == best, "definition").otherwise("caller").alias("slot"), "file", "line_start")
 
 
-_WHOLE = " UNION ALL ".join(f"SELECT '{p}' AS pattern, bool_or(regexp_matches(text, '{p}', 'i')) AS inside, bool_or(doc_id < 5 AND regexp_matches(text, '{p}', 'i')) AS kept FROM documents" for p in [*PATTERNS, "233[.]233"])
+_WHOLE = " UNION ALL ".join(f"SELECT '{p}' AS pattern, bool_or(regexp_matches(text, '{p}', 'i')) AS inside, bool_or(regexp_matches(text, '{p}', 'i') AND printf('%012d', doc_id) IN (SELECT file FROM kept)) AS kept FROM documents" for p in [*PATTERNS, "233[.]233"])
 
 
-@register(f"WITH p AS ({_WHOLE}) SELECT pattern, CASE WHEN inside THEN 'outside' ELSE 'absent' END AS state FROM p WHERE NOT kept")
+@register(f"WITH {DOC_LINES}, {HITS}, {_READ}, kept AS (SELECT file FROM r WHERE used < 400), p AS ({_WHOLE}) SELECT pattern, CASE WHEN inside THEN 'outside' ELSE 'absent' END AS state FROM p WHERE NOT kept")
 def negative_evidence(spark, sf_dir):
-    """Patterns that the chosen chunks (here documents 0 to 4) lack, and whether the corpus has them."""
+    """Patterns that the documents read under a budget lack, and whether the corpus has them."""
     files = documents(spark, sf_dir)
-    kept = files.where(F.col("file") < "000000000005").withColumnRenamed("text", "code")
+    read = metrics.read_until(strategies.whole_files(files, P.Matcher(spark, PATTERNS)), 400)
+    kept = files.join(read.select("file"), "file", "left_semi").withColumnRenamed("text", "code")
     return evidence.pattern_absences(files, kept, P.Matcher(spark, [*PATTERNS, "233[.]233"])).select("pattern", "state")
 
 
+@register(f"WITH {CODE} SELECT DISTINCT 'pack_' || lower(p_type) AS symbol FROM part")
+def undefined_symbols(spark, sf_dir):
+    """Names that the code's lines use or define, less those that a line defines."""
+    lines = code(spark, sf_dir).select(F.explode(X.line_array(F.col("text"))).alias("code"))
+    return evidence.undefined_symbols(lines.select("code", F.coalesce(X.symbol(X.bare(F.col("code"))), F.lit("")).alias("symbol")))
+
+
+# ---- braces, symbols and languages
+
+def braces(spark, sf_dir) -> DataFrame:
+    """A second derived corpus: files of functions with braces, some in TypeScript and Rust."""
+    part = table(spark, sf_dir, "part")
+    file = F.concat(F.lit("lib/"), F.regexp_replace("p_brand", "#", ""), F.lit("_"), F.expr("p_partkey div 100").cast("string"), F.when(F.expr("p_partkey div 100") % 3 == 0, ".ts").when(F.expr("p_partkey div 100") % 3 == 1, ".rs").otherwise(".js"))
+    head = F.when(F.expr("p_partkey div 100") % 3 == 1, "pub fn ").otherwise("export function ")
+    lines = F.concat(head, F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("(size) {\n  if (size > "), F.col("p_size").cast("string"), F.lit(") {\n    return total(size);\n  }\n}\n\n"))
+    made = part.select(file.alias("file"), "p_partkey", lines.alias("t")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "t"))).alias("l"))
+    return made.select("file", F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
+
+
+_BRACES = """placed AS (SELECT 'lib/' || replace(p_brand, '#', '') || '_' || (p_partkey // 100) || CASE (p_partkey // 100) % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.rs' ELSE '.js' END AS file,
+  replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_partkey FROM part),
+b AS (SELECT *, 6 * (row_number() OVER (PARTITION BY file ORDER BY p_partkey) - 1) AS base, 6 * count(*) OVER (PARTITION BY file) AS n FROM placed)"""
+
+
+@register(f"WITH {_BRACES} SELECT file, CAST(base + 2 AS INT) AS line_start, CAST(base + 3 AS INT) AS line_end FROM b")
+def brace_blocks(spark, sf_dir):
+    """The block about each return: from the nearest line that opens one to the line before that one's end."""
+    m = P.Matcher(spark, ["return total"])
+    return blocks.enclosing_chunks(braces(spark, sf_dir), m, 0, 0).select("file", "line_start", "line_end")
+
+
+@register(f"WITH {_BRACES}, {CODE} SELECT DISTINCT file, 'c_like' AS language FROM b UNION SELECT file, 'python' FROM code")
+def languages(spark, sf_dir):
+    files = braces(spark, sf_dir).unionByName(code(spark, sf_dir))
+    return files.select("file", X.language(F.col("file")).alias("language"))
+
+
+@register(f"WITH {_BRACES} SELECT name, file, CAST(base AS INT) AS lo, CAST(least(n, base + 26) AS INT) AS hi FROM b WHERE ends_with(file, '.rs') OR ends_with(file, '.ts')")
+def language_tasks(spark, sf_dir):
+    files = braces(spark, sf_dir)
+    both = strategies.language_tasks(files, "rust").unionByName(strategies.language_tasks(files, "typescript"))
+    return both.select("name", "file", "lo", "hi")
+
+
+@register(f"""WITH {CODE}, l AS (SELECT file, ln, line FROM code_lines WHERE starts_with(ltrim(line), 'return pack_')), d AS (SELECT file, ln, line FROM code_lines WHERE starts_with(line, 'def '))
+SELECT file, CAST(ln - 3 AS INT) AS line_start, CAST(ln + 1 AS INT) AS line_end,
+  CAST(greatest(0, 5 + 3 + 12 - CASE WHEN starts_with(file, 'tests/') THEN 8 ELSE 0 END - CASE WHEN starts_with(file, 'vendor/') THEN 15 ELSE 0 END) AS DOUBLE) AS score FROM l""")
+def symbol_scores(spark, sf_dir):
+    """Chunks named by their symbol: its definition line counts though the pattern hits another line."""
+    m = P.Matcher(spark, ["return pack_"])
+    return score.lexical_score(blocks.enclosing_chunks(code(spark, sf_dir), m, 0, 0), m).select("file", "line_start", "line_end", "score")
+
+
+@register(f"WITH {CODE} SELECT regexp_extract(line, 'def\\s+(\\w+)', 1) AS name, file, CAST(ln - 1 AS INT) AS ln FROM code_lines WHERE starts_with(line, 'def ') AND NOT starts_with(file, 'tests/')")
+def public_symbols(spark, sf_dir):
+    return strategies.collect_symbols(code(spark, sf_dir)).select("name", "file", "ln")
+
+
+@register(f"""WITH {CODE}, n AS (SELECT file, max(ln) AS n FROM code_lines GROUP BY file), d AS (SELECT regexp_extract(line, 'def\\s+(\\w+)', 1) AS name, file, ln - 1 AS ln FROM code_lines WHERE starts_with(line, 'def ') AND NOT starts_with(file, 'tests/'))
+SELECT name, d.file, CAST(ln AS INT) AS lo, CAST(coalesce(lead(ln) OVER (PARTITION BY d.file ORDER BY ln), n) AS INT) AS hi FROM d JOIN n USING (file)""")
+def definition_sites(spark, sf_dir):
+    files = code(spark, sf_dir)
+    return strategies.definition_sites(strategies.collect_symbols(files), files)
+
+
+@register(f"""WITH {CODE}, n AS (SELECT file, max(ln) AS n FROM code_lines GROUP BY file), h AS (SELECT file, ln - 1 AS ln FROM code_lines WHERE contains(line, 'return pack_small')),
+w AS (SELECT file, greatest(0, ln - 3) AS lo, least(n, ln + 4) AS hi FROM h JOIN n USING (file))
+SELECT w.file, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, md5(string_agg(line || chr(10), '' ORDER BY c.ln)) AS hash FROM w JOIN code_lines c ON c.file = w.file AND c.ln > lo AND c.ln <= hi GROUP BY ALL""")
+def padded_spans(spark, sf_dir):
+    files = code(spark, sf_dir)
+    hits = grep.line_hits(files, P.Matcher(spark, ["return pack_small"])).select("file", (F.col("ln") - 1).alias("ln"))
+    return strategies.padded_spans(hits, files).select("file", "lo", "hi", F.md5("code").alias("hash"))
+
+
+# ---- hunks and regions of a history
+
+def patches(spark, sf_dir) -> DataFrame:
+    """Lines of a patch for each order: a file for each part, a hunk with the part's name in its header."""
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    li = li.groupBy("l_orderkey", "l_partkey").agg(F.floor(F.max("l_quantity")).cast("int").alias("a"))
+    rows = li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("cid"), F.col("p_partkey").alias("k"), "p_partkey", F.regexp_replace("p_name", " ", "_").alias("name"), "a")
+    path = F.concat(F.lit("+++ b/src/f"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    head = F.concat(F.lit("@@ -"), F.col("a").cast("string"), F.when(F.col("a") % 3 == 0, F.concat(F.lit(","), (F.col("a") % 5).cast("string"))).otherwise(""), F.lit(" +1 @@ def "), F.col("name"), F.lit("(size):"))
+    return rows.select("cid", F.explode(F.array(F.struct((2 * F.col("k")).alias("n"), path.alias("line")), F.struct((2 * F.col("k") + 1).alias("n"), head.alias("line")))).alias("l")).select("cid", "l.n", "l.line")
+
+
+_CUT = "h AS (SELECT l_orderkey AS cid, p_partkey, replace(p_name, ' ', '_') AS name, CAST(floor(max(l_quantity)) AS INT) AS a FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)"
+
+
+@register(f"WITH {_CUT} SELECT cid, 'src/f' || p_partkey || '.py' AS path, CAST(greatest(0, a - 1) AS INT) AS start, CAST(CASE WHEN a % 3 = 0 THEN greatest(1, a % 5) ELSE 1 END AS INT) AS len FROM h")
+def patch_hunks(spark, sf_dir):
+    return strategies.parse_hunks(patches(spark, sf_dir))
+
+
+@register(f"WITH {_CUT} SELECT DISTINCT cid, name AS sym FROM h")
+def hunk_symbols(spark, sf_dir):
+    return history.hunk_symbols(patches(spark, sf_dir).select("cid", "line"))
+
+
+def _expanded(spark, sf_dir):
+    """The names of parts 1 to 8 as coupled symbols, weaker by key."""
+    part = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 8")
+    return part.select(F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")).alias("item"), (1.0 / F.col("p_partkey")).alias("w"))
+
+
+_ITEMS = "e AS (SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS item, 1.0 / p_partkey AS w FROM part WHERE p_partkey BETWEEN 1 AND 8)"
+
+
+@register(f"WITH {CODE}, {_ITEMS}, d AS (SELECT file, ln, regexp_extract(line, 'def\\s+(\\w+)', 1) AS item FROM code_lines WHERE starts_with(line, 'def ')) SELECT file, CAST(ln - 1 AS INT) AS lo, 5 + coalesce(round_even(8 * w, 0), 0) AS score, w IS NOT NULL AS told FROM d LEFT JOIN e USING (item)")
+def region_scores(spark, sf_dir):
+    """Blocks that begin with the definition of a coupled symbol gain by its weight."""
+    cut = blocks.blocks(code(spark, sf_dir)).withColumn("score", F.lit(5.0)).withColumn("rank_reason", F.array().cast("array<string>"))
+    return history.region_boost(cut, _expanded(spark, sf_dir)).select("file", "lo", "score", F.array_contains("rank_reason", "region-history").alias("told"))
+
+
+@register(f"""WITH {CODE}, {_ITEMS}, n AS (SELECT file, max(ln) AS n FROM code_lines GROUP BY file), t AS (SELECT * FROM e ORDER BY w DESC, item LIMIT 4),
+s AS (SELECT item, w, c.file, c.ln FROM t JOIN code_lines c ON regexp_extract(c.line, '^def\\s+(\\w+)', 1) = item QUALIFY row_number() OVER (PARTITION BY item ORDER BY c.file, c.ln) = 1)
+SELECT item AS symbol, file, CAST(ln AS INT) AS line_start, CAST(least(n, ln + 29) AS INT) AS line_end, CAST(12 + floor(14 * w) AS DOUBLE) AS score FROM s JOIN n USING (file)""")
+def expansion_sites(spark, sf_dir):
+    return history.expansion_chunks(code(spark, sf_dir), _expanded(spark, sf_dir)).select("symbol", "file", "line_start", "line_end", "score")
+
+
 # ---- queries in batch
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(PHRASE_STOP))
@@ -427,6 +604,36 @@ def hit_coverage(spark, sf_dir):
     return found.select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 6).alias("coverage"), (F.col("c") == F.col("n")).alias("hit"))
 
 
+_TRIMMED = "list_distinct(list_filter([trim(l) FOR l IN string_split({}, chr(10))], lambda l: l <> ''))"
+
+
+@register(f"""WITH p AS (SELECT doc_id, {_TRIMMED.format('b.text')} AS w, {_TRIMMED.format('substr(d.text, 1, 480)')} AS h FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text IS NOT NULL AND b.text IS NOT NULL),
+k AS (SELECT *, len(list_filter(w, lambda l: list_contains(h, l))) AS c FROM p)
+SELECT doc_id, CASE WHEN len(w) = 0 THEN 1.0 ELSE round(c / len(w), 6) END AS coverage, c = len(w) AS hit, CASE WHEN len(h) = 0 THEN 0.0 ELSE round(100.0 * (len(h) - c) / len(h), 6) END AS irrelevant FROM k""")
+def context_metrics(spark, sf_dir):
+    """Each document, capped to 120 tokens, as the context of one benchmark item."""
+    docs = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", metrics.capped(F.col("text"), 120).alias("context"), (F.col("doc_id") % 40).alias("item_id"))
+    both = docs.join(table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("truth")), "item_id")
+    truth, context = F.col("truth"), F.col("context")
+    return both.select("doc_id", F.round(metrics.coverage(truth, context), 6).alias("coverage"), metrics.hit(truth, context).alias("hit"), F.round(metrics.irrelevant_percent(truth, context), 6).alias("irrelevant"))
+
+
+@register("SELECT doc_id, length(substr(text, 1, 32000)) AS n_chars, md5(substr(text, 1, 32000)) AS hash FROM documents WHERE text IS NOT NULL")
+def capped_context(spark, sf_dir):
+    cut = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", metrics.capped(F.col("text")).alias("context"))
+    return cut.select("doc_id", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("hash"))
+
+
+@register("""WITH f AS (SELECT l_orderkey AS o, list_distinct(list('f' || (l_partkey % 7) || '.py')) AS named, list_distinct(list('f' || (l_suppkey % 7) || '.py')) AS wanted FROM lineitem GROUP BY l_orderkey)
+SELECT o, round(len(list_filter(wanted, lambda x: list_contains(named, x))) / len(wanted), 6) AS recall FROM f""")
+def file_recall(spark, sf_dir):
+    """The share of wanted files that an answer names, by base name whatever the folder."""
+    li = table(spark, sf_dir, "lineitem")
+    path = lambda top, c: F.concat(F.lit(top), (F.col(c) % 7).cast("string"), F.lit(".py"))
+    sets = li.groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set(path("a/f", "l_partkey")).alias("named"), F.collect_set(path("src/b/f", "l_suppkey")).alias("wanted"))
+    return sets.select("o", F.round(metrics.file_recall(F.col("named"), F.col("wanted")), 6).alias("recall"))
+
+
 def _cells(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_type").alias("strategy"), F.concat(F.lit("family"), (F.col("user_id") % 3).cast("string")).alias("family"), (F.col("event_id") % 977).cast("int").alias("tokens"), (F.col("value") > 20).alias("hit"), (F.col("event_id") % 4 / 4.0).alias("coverage"), F.col("value").alias("latency_ms"))

@@ -38,6 +38,16 @@ def scan(root: str, max_bytes: int | None = K.MAX_FILE_BYTES) -> list[tuple[str,
     return sorted(found)
 
 
+def in_repository(path: str) -> bool:
+    """Whether the folder or one above it holds a git repository."""
+    at = os.path.abspath(path)
+    while not os.path.exists(os.path.join(at, ".git")):
+        at, below = os.path.dirname(at), at
+        if at == below:
+            return False
+    return True
+
+
 class Slice(InputPartition):
     def __init__(self, rows):
         self.rows = rows
@@ -116,7 +126,7 @@ class _LogReader(DataSourceReader):
     def read(self, partition):
         shape = ["--numstat"] if self.kind == "files" else ["-p", "-U0"]
         try:
-            done = subprocess.run(["git", "-C", self.root, "log", *shape, "--pretty=%x1e%H %ct", "-n", str(self.commits)], capture_output=True, timeout=self.seconds)
+            done = subprocess.run(["git", "-C", self.root, "log", "--relative", *shape, "--pretty=%x1e%H %ct", "-n", str(self.commits)], capture_output=True, timeout=self.seconds)
         except (OSError, subprocess.TimeoutExpired):
             return
         if done.returncode == 0:
