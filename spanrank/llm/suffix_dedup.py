@@ -365,7 +365,7 @@ def _cover(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist()))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024, bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 256, bits: int = 64) -> DataFrame:
     """Every row of docs with ``kept`` binary and ``spans`` array<struct<start long, end long>>.
 
     Removed is each byte of the UTF-8 text that a ``length``-byte string covers
