@@ -364,3 +364,115 @@ def test_metrics_and_strategies(spark, project):
     assert metrics.refine_terms(spark.createDataFrame([("refresh refresh fooBar cache",)], "code string"), ["cache"], 2).first().term == "fooBar"
     commits = spark.createDataFrame([(1, "Fix `parse_it` in reader"), (2, "Bump version now"), (3, "Fix it")], "cid int, subject string")
     assert [(r.cid, r.query) for r in strategies.mine_sessions(commits, spark.createDataFrame([(i, "f", 9) for i in (1, 2, 3)], "cid int, file string, changed int")).collect()] == [(1, "parse_it|Fix|reader")]
+
+
+def test_prefilter_loses_no_line(spark):
+    """Texts go before their lines are cut only where no line can match without its text."""
+    files = spark.createDataFrame([("a", "one\ntwo three\n"), ("b", "beta\none"), ("c", "x\n"), ("d", "")], "file string, text string")
+    for pattern, want in {"one": "ab", "^two": "a", "three$": "a", r"\bbeta\b": "b", "(?<!x)one": "ab", "ne|TWO": "ab", "one$": "ab", "[^o]ne": "", r"e\s*t": "b"}.items():
+        got = {r.file for r in grep.line_hits(files, P.Matcher(spark, [pattern])).collect()}
+        assert got == set(want), pattern
+
+
+def test_groups_equal_a_plain_fold(spark):
+    r = random.Random(4)
+    for reach in (0, 1, 3):
+        rows = [(i, sorted(r.sample(range(60), r.randrange(0, 25)))) for i in range(30)]
+        d = spark.createDataFrame([(i, [(ln, [ln % 3]) for ln in at]) for i, at in rows], "i int, hits array<struct<ln:int,pats:array<int>>>")
+        got = {x.i: [(g.first, g.last, g.hits, list(g.pats)) for g in x.groups] for x in grep.with_groups(d, reach).collect()}
+        for i, at in rows:
+            want = []
+            for ln in at:
+                if want and ln - want[-1][1] <= reach:
+                    a, _, n, pats = want[-1]
+                    want[-1] = (a, ln, n + 1, pats + [ln % 3] * (ln % 3 not in pats))
+                else:
+                    want.append((ln, ln, 1, [ln % 3]))
+            assert got[i] == want
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    r = random.Random(9)
+    chunks = [(f"f{i % 2}", i, "\n".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 9)))) for i in range(60)]
+    sets = {(f, i): frozenset(x.strip() for x in c.split("\n") if x.strip()) for f, i, c in chunks}
+    want = {(f, i, j): round(len(a & b) / len(a | b), 6) for (f, i), a in sets.items() for (g, j), b in sets.items() if f == g and i < j and a and b and len(a & b) >= 0.7 * len(a | b) - 1e-12}
+    got = dedupe.near_pairs(spark.createDataFrame(chunks, "file string, line_start int, code string")).collect()
+    assert {(x.file, x.a, x.b): x.jaccard for x in got} == want and len(got) == len(want)
+
+
+def test_deduplicated_chunks_equal_a_plain_greedy(spark):
+    from spanrank import queries as q
+    from tests.conftest import SF
+
+    m = P.Matcher(spark, q.PATTERNS)
+    scored = score.lexical_score(grep.window_chunks(q.documents(spark, SF), m, 1, 1), m).collect()
+    kept = set()
+    by = {}
+    for c in sorted(scored, key=lambda c: (-c.score, c.file, c.line_start)):
+        mine = {x.strip() for x in c.code.splitlines() if x.strip()}
+        seen = by.setdefault(c.file, [])
+        if not any(c.hash == h or mine and o and len(mine & o) >= 0.7 * len(mine | o) for h, o in seen):
+            seen.append((c.hash, mine))
+            kept.add((c.file, c.line_start, c.line_end))
+    got = q.deduplicated_chunks(spark, SF).collect()
+    assert {(r.file, r.line_start, r.line_end) for r in got} == kept and len(got) == len(kept) <= len(scored)
+
+
+def test_history_of_a_folder_is_read(spark, project):
+    """The priors of a folder come from its repository, named as its files are, and change the files' scores."""
+    import subprocess
+
+    def git(*args):
+        subprocess.run(["git", "-C", project, "-c", "user.name=t", "-c", "user.email=t@example.org", *args], check=True, capture_output=True)
+
+    assert not codetree.in_repository(project)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    files = sorted(path for path, _, _ in codetree.scan(project))
+    for i in range(5):
+        with open(files[0], "a", encoding="utf-8") as f:
+            f.write(f"# more {i}\n")
+        git("commit", "-qam", f"change {i}")
+    from spanrank.plans.search import _file_scores, load_priors
+
+    priors = load_priors(spark, project)
+    assert {r.file for r in priors.changes.select("file").distinct().collect()} >= set(files) and priors.commits.count() == 6
+    rows = spark.createDataFrame([(f, 10.0) for f in files], "file string, score double")
+    fscore = {r.file: r.fscore for r in _file_scores(rows, priors, 6, "churn-only").collect()}
+    assert fscore[files[0]] == max(fscore.values()) and fscore[files[0]] > 10.0
+    assert focused_read(spark, project, "build_gear", budget=600).chunks and cli.main([project, "build_gear", "--budget", "600"], spark) == 0
+
+
+def test_paths_are_alike(spark):
+    d = spark.createDataFrame([("/a/b/c.py",), ("\\a\\b\\c.py",), ("c/d.py",), ("/x/y",)], "f string")
+    assert [r[0] for r in d.select(X.relative_path(F.col("f"), "/a/b/")).collect()] == ["c.py", "c.py", "c/d.py", "/x/y"]
+
+
+def test_sinks_resume(spark, tmp_path):
+    from spanrank.eval import sinks
+
+    path = str(tmp_path / "cells")
+    schema = "sha string, strategy string, tokens int, hit boolean, coverage double, latency_ms double"
+    cells = spark.createDataFrame([("a", "x", 10, True, 1.0, 5.0), ("b", "x", 20, False, 0.5, 7.0)], schema)
+    assert sinks.append(cells, path, ["sha", "strategy"]).count() == 2
+    more = cells.unionByName(spark.createDataFrame([("a", "y", 5, True, 1.0, 1.0)], schema))
+    assert sinks.todo(more, sinks.done(spark, path, schema), ["sha", "strategy"]).count() == 1
+    assert sinks.append(more, path, ["sha", "strategy"]).count() == 3
+    text = sinks.markdown(sinks.done(spark, path, schema))
+    assert text.split("\n")[0].startswith("| strategy |") and "| x | 50.0 % | 75.0 % | 15 | 6.0 | 2 |" in text
+
+
+def test_second_round_and_tested_tasks(spark):
+    first = spark.createDataFrame([(1, "load_index(path)\nload_index(other)\nquery"), (2, "x")], "place int, code string")
+    asked = []
+
+    def again(query):
+        asked.append(query)
+        return spark.createDataFrame([(1, "second round")], "place int, code string")
+
+    got = strategies.refined("query", first, again).orderBy("round", "place").collect()
+    assert asked and asked[0].startswith("query|load_index") and [(r["round"], r.place) for r in got] == [(1, 1), (1, 2), (2, 1)]
+    assert strategies.refined("query", first, again, 2).count() == 1
+    files = spark.createDataFrame([("src/a.py", "def make_it():\n    pass\n"), ("tests/test_a.py", "import a\n\nassert a.make_it()\n")], "file string, text string")
+    assert [tuple(r) for r in strategies.tested_tasks(files).collect()] == [("make_it", "src/a.py", 0, "tests/test_a.py", 2)]
