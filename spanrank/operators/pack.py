@@ -49,24 +49,44 @@ def clear_of(spans: DataFrame, taken: DataFrame) -> DataFrame:
 RESERVED = {"auto": ("definition", "caller", "test"), "def+caller": ("definition", "caller"), "def+test": ("definition", "test"), "single": ()}
 
 
-def guaranteed(ranked: list[Candidate], objective: str) -> list[Candidate]:
-    """The first candidate by rank of each reserved kind.
+def slots(ranked: list[Candidate], objective: str) -> list[tuple[str, Candidate]]:
+    """(kind, candidate): the first by rank of each reserved kind.
 
     A definition outside of tests goes before one in a test; a caller stands
     in another file than the definition (or the best candidate) and in no test.
     """
-    out: list[Candidate] = []
+    out: list[tuple[str, Candidate]] = []
     for kind in RESERVED.get(objective, ()) if ranked else ():
-        home = (out or ranked)[0].file
+        taken = [c for _, c in out]
+        home = (taken or ranked)[0].file
         fits = {
             "definition": [c for wanted in (False, True) for c in ranked if "definition" in c.reasons and c.test == wanted],
             "caller": [c for c in ranked if not c.test and c.file != home],
             "test": [c for c in ranked if c.test],
         }[kind]
-        out += [c for c in fits if c not in out][:1]
+        out += [(kind, c) for c in fits if c not in taken][:1]
     return out
 
 
+def guaranteed(ranked: list[Candidate], objective: str) -> list[Candidate]:
+    """The candidates that the objective reserves room for."""
+    return [c for _, c in slots(ranked, objective)]
+
+
+def _candidates(group: pd.DataFrame) -> list[Candidate]:
+    return [Candidate(r.file, int(r.line_start), int(r.line_end), float(r.score), int(r.tokens), list(r.rank_reason), bool(r.recall), int(r.row)) for r in group.sort_values("rank_pos", kind="stable").itertuples()]
+
+
+def reserved(slim: DataFrame, objective: str = "auto") -> DataFrame:
+    """(qid, slot, row): what the objective reserves room for among the rows of slim, as ``pack`` takes them."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = slots(_candidates(group), objective)
+        return pd.DataFrame({"qid": group["qid"].iloc[0], "slot": [k for k, _ in found], "row": [c.row for _, c in found]})
+
+    return slim.groupBy("qid").applyInPandas(run, f"qid {dict(slim.dtypes)['qid']}, slot string, row long")
+
+
 def fill(ranked: list[Candidate], budget: int, objective: str = "auto") -> list[Candidate]:
     """Guarantees first, then the best score less 6 for each chunk of the same file; nothing fits: no rows.
 
@@ -188,8 +208,7 @@ def pack(slim: DataFrame, budget: int, route: str = "budget", objective: str = "
         slim = slim.withColumn("fscore", F.lit(None).cast("double"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank_pos", kind="stable")
-        all_ = [Candidate(r.file, int(r.line_start), int(r.line_end), float(r.score), int(r.tokens), list(r.rank_reason), bool(r.recall), int(r.row)) for r in group.itertuples()]
+        all_ = _candidates(group)
         lexical, recall = [c for c in all_ if not c.recall], [c for c in all_ if c.recall]
         sums = {r.file: float(r.fscore) for r in group.itertuples() if r.fscore == r.fscore and r.fscore is not None} or None
         if budget <= 0:

@@ -419,7 +419,7 @@ def overlap_antijoin(spark, sf_dir):
 best AS (SELECT * FROM d WHERE test = 0 ORDER BY pos LIMIT 1), caller AS (SELECT d.* FROM d, best WHERE d.file <> best.file AND d.test = 0 ORDER BY d.pos LIMIT 1), tst AS (SELECT * FROM d WHERE test = 1 ORDER BY pos LIMIT 1)
 SELECT 'definition' AS slot, file, CAST(ln AS INT) AS line_start FROM best UNION ALL SELECT 'caller', file, CAST(ln AS INT) FROM caller UNION ALL SELECT 'test', file, CAST(ln AS INT) FROM tst""")
 def objective_slots(spark, sf_dir):
-    """The guarantees of the packer: with room for three tokens it takes what the objective reserves.
+    """What the packer reserves room for.
 
     Of the definitions only the first of each file can be one of them, so only
     these go to the packer.
@@ -427,9 +427,7 @@ def objective_slots(spark, sf_dir):
     lines = code(spark, sf_dir).select("file", F.posexplode(X.line_array(F.col("text"))).alias("i", "line")).where(F.col("line").contains("def red_"))
     first = lines.groupBy("file").agg((F.min("i") + 1).cast("int").alias("line_start")).withColumn("qid", F.lit(0))
     slim = first.select("qid", F.xxhash64("file", "line_start").alias("row"), F.row_number().over(Window.partitionBy("qid").orderBy("file")).alias("rank_pos"), "file", "line_start", F.col("line_start").alias("line_end"), F.lit(1.0).alias("score"), F.lit(1).alias("tokens"), F.array(F.lit("definition")).alias("rank_reason"), F.lit(False).alias("recall"))
-    chosen = slim.join(pack.pack(slim, 3).select("row"), "row").withColumn("test", X.is_test_path(F.col("file")))
-    best = F.min(F.when(~F.col("test"), F.col("rank_pos"))).over(Window.partitionBy("qid"))
-    return chosen.select(F.when(F.col("test"), "test").when(F.col("rank_pos") == best, "definition").otherwise("caller").alias("slot"), "file", "line_start")
+    return slim.join(pack.reserved(slim).select("row", "slot"), "row").select("slot", "file", "line_start")
 
 
 _WHOLE = " UNION ALL ".join(f"SELECT '{p}' AS pattern, bool_or(regexp_matches(text, '{p}', 'i')) AS inside, bool_or(regexp_matches(text, '{p}', 'i') AND printf('%012d', doc_id) IN (SELECT file FROM kept)) AS kept FROM documents" for p in [*PATTERNS, "233[.]233"])
