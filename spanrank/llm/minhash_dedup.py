@@ -15,10 +15,11 @@ Plan
    many parts as it has nodes for; the partner's text goes once to each part
    and the others stream past it.  Components of the links are first classes.
 6. Buckets whose nodes are all of one class are done.  The others may still
-   hold links: their nodes are clustered, dealt in blocks of hashed nodes and
-   compared block by block, again by signature first and then on full sets;
-   only links that join two classes are emitted.  Components of these links
-   join the classes.
+   hold links: their nodes are clustered.  Nodes outside of a cluster's largest
+   class are compared with all of its nodes, in blocks of hashed nodes, again by
+   signature first and then on full sets; only links that join two classes are
+   emitted.  Members of the largest class, which may be many, are not compared
+   with one another.  Components of these links join the classes.
 """
 
 from __future__ import annotations
@@ -118,12 +119,11 @@ def _confirm(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _block_links(words: int, percent: int, bound: int):
-    """Links (u, v) of classes, between the two blocks of nodes of a group; only those that join local classes."""
+    """Links (u, v) of classes, between the loose nodes and all nodes of a group; only those that join local classes."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         signature = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(group), -1)
-        classes, block, texts = group["class"].to_numpy(), group["block"].to_numpy(), group["text"].to_numpy()
+        classes, loose, texts = group["class"].to_numpy(), group["loose"].to_numpy(), group["text"].to_numpy()
         sets: dict[int, np.ndarray] = {}
         parent = {int(c): int(c) for c in classes}
 
@@ -139,10 +139,9 @@ def _block_links(words: int, percent: int, bound: int):
                 sets[k] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
             return sets[k]
 
-        found, second = [], np.flatnonzero(block == j)
-        for a in np.flatnonzero(block == i).tolist():
-            others = second[second > a] if i == j else second
-            others = others[classes[others] != classes[a]]
+        found, every = [], np.flatnonzero(~loose)
+        for a in np.flatnonzero(loose).tolist():
+            others = every[classes[every] != classes[a]]
             others = others[(signature[others] == signature[a]).sum(axis=1) >= bound]
             for b in others.tolist():
                 x, y = root(int(classes[a])), root(int(classes[b]))
@@ -226,11 +225,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         left = scratch.save(spread_join(classed, mixed.select("key"), "key", mixed, classed.count()))
         clusters = components(left.select(F.col("node").alias("u"), F.col("least").alias("v")), scratch).withColumnRenamed("root", "cluster")
         members = scratch.save(clusters.join(left.select("node", "class").distinct(), "node"))
-        sizes = scratch.save(_count(members, "cluster"))
-        members = spread_join(members, sizes.select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "cluster", sizes, members.count())
-        members = members.withColumn("block", F.expr("cast(pmod(xxhash64(node, 3), blocks) as int)"))
-        sent = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class")
-        sent = sent.join(reps.select("node", "signature"), "node").join(texts, "node").drop("node")
+        parts_of = members.groupBy("cluster", "class").agg(F.count("*").alias("k"))
+        sizes = parts_of.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("m"))
+        sizes = scratch.save(sizes.select("cluster", "n", F.col("m.class").alias("largest"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("rows"), F.ceil(F.col("n") / (4 * block)).cast("int").alias("columns")))
+        members = spread_join(members, sizes.drop("n"), "cluster", sizes, members.count()).withColumn("h", F.xxhash64("node", F.lit(3)))
+        loose = members.where(F.col("class") != F.col("largest")).select("cluster", F.expr("cast(pmod(h, rows) as int)").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(True).alias("loose"), "node", "class")
+        every = members.select("cluster", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.expr("cast(pmod(h, columns) as int)").alias("j"), F.lit(False).alias("loose"), "node", "class")
+        sent = loose.unionByName(every).join(reps.select("node", "signature"), "node").join(texts, "node").drop("node")
         links = sent.repartition(parts(spark), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent, bound), "u long, v long")
         more = components(scratch.save(links), scratch).select(F.col("node").alias("_class"), F.col("root").alias("_root"))
         every = classed.select("node", "class").distinct()
