@@ -21,7 +21,10 @@ out those whose gram occurs once; every repeat is decided by its bytes.
    their bytes.  What is left is dealt by longer leads: the windows that start
    between a and b bytes before the gram share length - b + a bytes, which are
    their lead.  Leads that are still hot are halved to narrower ranges of
-   starts; a range of one start leads with the whole window.
+   starts, with the bytes that these windows cover.  Halves of equal bytes
+   collapse again, so of a domain only what differs from the others is halved
+   on: some rows for each halving, not one for each start.  A range of one
+   start leads with the whole window.
 5. The windows that repeat are joined to the texts and their bytes removed.
    Texts that occur twice are known by a 128-bit digest and go as a whole.
 """
@@ -331,28 +334,37 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _RANGES_DDL)
 
 
+def _collapsed(rows: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One row of each string with its gram at one place, and the windows (key, at, n) of those that occur several times."""
+    named = rows.withColumn("name", F.concat("string", F.unhex(F.lpad(F.hex("o"), 4, "0")), F.unhex(F.lpad(F.hex("a"), 4, "0"))))
+    counts = scratch.save(named.groupBy("name").agg(F.count("*").alias("n"), F.first(F.struct("key", "at", "o", "string", "a", "b")).alias("r")))
+    again = spread_join(named.select("name", "key", "at", "string"), counts.where("n > 1").select("name"), "name", counts, rows.count())
+    return counts.select("r.*"), scratch.save(again.select("key", "at", (F.length("string") - length + 1).cast("int").alias("n")))
+
+
+def _halved(rows: DataFrame, length: int) -> DataFrame:
+    """Rows (key, at, o, string, a, b) cut into what windows of either half of their starts cover; halves without windows are not made."""
+    half = F.expr("cast((a + b) div 2 as int)")
+    both = F.array(F.struct(F.col("a").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("b").alias("b")))
+    there = F.filter(both, lambda t: (t["a"] <= t["b"]) & (t["a"] <= F.col("o")) & (t["b"] >= F.col("o") - (F.length("string") - length)))
+    rows = rows.withColumn("_t", F.explode(there)).withColumns({"a": F.col("_t.a"), "b": F.col("_t.b")}).drop("_t")
+    first, last = F.expr("greatest(0, o - b)"), F.expr(f"least(length(string) - {length}, o - a)")
+    return rows.select("key", (F.col("at") + first).alias("at"), (F.col("o") - first).alias("o"), F.substring("string", first + 1, last - first + length).alias("string"), "a", "b")
+
+
 def _compare_hot(domains: DataFrame, length: int, hot: int, scratch: Scratch) -> list[DataFrame]:
     """Repeated windows of the domains of hot grams, in tables (key, at, n)."""
-    name = F.concat("string", F.unhex(F.lpad(F.hex("o"), 4, "0")))
-    whole = domains.withColumn("name", name)
-    counts = scratch.save(whole.groupBy("name").agg(F.count("*").alias("n"), F.first(F.struct("key", "at", "o", "string")).alias("r")))
-    again = spread_join(whole.select("name", "key", "at", "string"), counts.where("n > 1").select("name"), "name", counts, domains.count())
-    out = [scratch.save(again.select("key", "at", (F.length("string") - length + 1).cast("int").alias("n")))]
-    now = counts.select("r.*", F.lit(0).alias("a"), F.lit(length - length // 2).alias("b"))
+    now, again = _collapsed(domains.select("key", "at", "o", "string", F.lit(0).alias("a"), F.lit(length - length // 2).alias("b")), length, scratch)
+    out = [again]
     while now.limit(1).count():
-        half = F.expr("cast((a + b) div 2 as int)")
-        both = F.array(F.struct(F.col("a").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("b").alias("b")))
-        now = now.withColumn("_t", F.explode(both)).withColumns({"a": F.col("_t.a"), "b": F.col("_t.b")}).drop("_t")
-        now = now.where(f"a <= b AND a <= o AND b >= o - (length(string) - {length})")
+        now, again = _collapsed(scratch.save(_halved(now, length)), length, scratch)
         lead = F.concat(F.unhex(F.lpad(F.hex("a"), 4, "0")), F.expr(f"substring(string, o - a + 1, {length} - b + a)"))
         now = scratch.save(now.withColumn("lead", lead))
         many = scratch.save(now.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot))
         marked = scratch.save(spread_join(now, many.select("lead", F.lit(True).alias("many")), "lead", many, now.count(), "left"))
         scratch.drop(now)
-        out.append(scratch.save(_compare(marked.where("many IS NULL"), length)))
-        hot_rows = marked.where("many")
-        out.append(hot_rows.where("a = b").select("key", (F.col("at") + F.col("o") - F.col("a")).alias("at"), F.lit(1).alias("n")))
-        now = hot_rows.where("a < b").drop("lead", "many")
+        out += [again, scratch.save(_compare(marked.where("many IS NULL"), length))]
+        now = marked.where("many AND a < b").drop("lead", "many")  # a range of one start leads with its whole string, of which one row is left
     return out
 
 

@@ -12,7 +12,7 @@ from spanrank.llm.common import Scratch
 from spanrank.llm.components import components
 from spanrank.llm.minhash_dedup import agreement_bound, near_duplicates
 from spanrank.llm.shingles import MinHash
-from spanrank.llm.suffix_dedup import multikey_quicksort, remove_repeats
+from spanrank.llm.suffix_dedup import _collapsed, _halved, multikey_quicksort, remove_repeats
 from tests.conftest import SF
 
 from .helpers import DOCS, docs, prose, with_oddities
@@ -174,6 +174,31 @@ def test_hot_grams_with_very_many_contexts(spark):
         assert got == want
 
 
+def test_halves_of_a_hot_domain_collapse(spark):
+    """Domains that differ in one byte are halved only around it: a few rows for each halving, not one for each start."""
+    length, n = 40, 64
+    base = prose(4, 30).encode()[:60]
+    rows = []
+    for i in range(n):
+        at = i % 20  # bytes before the gram, which starts at 20
+        rows.append((bytes([i]) * 16, 0, 20, base[:at] + bytes([200 + i % 50]) + base[at + 1 :], 0, 20))
+    now = spark.createDataFrame(rows, "key binary, at long, o int, string binary, a int, b int")
+    made = 0
+    scratch = Scratch(spark, "t")
+    for _ in range(5):
+        halves = scratch.save(_halved(now, length))
+        made += halves.count()
+        now, again = _collapsed(halves, length, scratch)
+        windows = {(bytes(r.key), r.at + k) for r in again.collect() for k in range(r.n)}
+        held = {(bytes(r.key), r.at): bytes(r.string) for r in halves.collect()}
+        assert all(bytes(next(x for x in rows if x[0] == k)[3])[a : a + len(t)] == t for (k, a), t in held.items())
+        assert all(sum(x[3][a : a + length] in y[3] for y in rows) > 1 for x in rows for k, a in windows if k == x[0])
+        lead = F.expr(f"concat(string(a), '.', hex(substring(string, o - a + 1, {length} - b + a)))")
+        now = scratch.save(now.withColumn("lead", lead))
+        now = scratch.save(now.join(now.groupBy("lead").count().where("count > 4"), "lead").where("a < b").drop("lead", "count"))
+    assert made < 8 * n  # halving every hot row down to single starts made over 30 * n
+
+
 def test_docs_schema_is_read_by_name(spark):
     assert near_duplicates(docs(spark).select("text", "key", "doc_id")).count() == docs(spark).count()
     assert DOCS
