@@ -13,9 +13,12 @@ def _with_least(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
 
     A node that has over a thousandth of all pairs would fill one task of the
     join.  There are fewer than a thousand such nodes whatever the input, so
-    they are broadcast; the others meet in a plain join.
+    they are broadcast; the others meet in a plain join.  Without such nodes
+    that join is all, which keeps the plans of the many rounds small.
     """
     hot = least.where(F.col("n") > max(1000, total // 1000)).select("u", "m")
+    if total <= 1000 or not hot.limit(1).count():
+        return pairs.join(least.select("u", "m"), "u")
     spread = pairs.join(F.broadcast(hot), "u")
     return spread.unionByName(pairs.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.select("u", "m"), "u"))
 

@@ -15,8 +15,11 @@ Plan
    many parts as it has nodes for; the partner's text goes once to each part
    and the others stream past it.  Components of the links are first classes.
 6. Buckets whose nodes are all of one class are done.  The others may still
-   hold links: their nodes are clustered.  Nodes outside of a cluster's largest
-   class are compared with all of its nodes, in blocks of hashed nodes, again by
+   hold links: their nodes are clustered.  The shingles that no other node of
+   the cluster has bound what a node can share with any partner; nodes for which
+   no partner of a fitting size is left are done, and no link is lost.  Of the
+   others, those outside of a cluster's largest class are compared with all
+   that are left in the cluster, in blocks of hashed nodes, again by
    signature first and then on full sets; only links that join two classes are
    emitted.  Members of the largest class, which may be many, are not compared
    with one another.  Components of these links join the classes.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, chunks, flat, parts, small_batches, spread_join
+from .common import Scratch, arrow_batch, chunks, flat, mix, parts, small_batches, spread_join
 from .components import components
 from .shingles import MinHash, set_digest, shingle_sets
 
@@ -155,6 +158,38 @@ def _block_links(words: int, percent: int, bound: int):
     return run
 
 
+def _linkable(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The members (node, cluster, class, n_shingles) that may still have a link inside their cluster.
+
+    A node shares at most its ``core`` with any partner: its shingles that another
+    node of the cluster has too.  From ``100 * common >= percent * union`` follows
+    that the partner has at most ``reach`` shingles.  So x and y can only be
+    linked if each one's size is within the other's reach.  Sizes are compared in
+    64 steps an octave, and a collision of hashes makes a core larger: both keep
+    too many, never too few.
+    """
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64())])
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            sets = shingle_sets(*flat(batch.column("text")), words)
+            count = [len(s) for s in sets]
+            own = np.repeat(mix(batch.column("cluster").to_numpy().astype(np.uint64)), count)
+            yield arrow_batch(schema, [pa.array(mix(np.concatenate(sets) ^ own).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), count))])
+
+    held = members.select("node", "cluster").join(texts, "node").select("node", "cluster", "text").mapInArrow(run, "shingle long, node long")
+    alone = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    reach = F.expr(f"{100 + percent} * (n_shingles - coalesce(alone, 0)) div {percent} - n_shingles").alias("reach")
+    step = "cast(floor(64 * log2({})) as int)"
+    known = members.join(alone, "node", "left").select("node", "cluster", "class", "n_shingles", reach).where("reach > 0")
+    known = scratch.save(known.withColumns({"size": F.expr(step.format("n_shingles")), "most": F.expr(step.format("reach"))}))
+    farthest = known.groupBy("cluster", "size").agg(F.max("reach").alias("reach"), F.count("*").alias("k"))
+    partners = farthest.groupBy("cluster").agg(F.collect_list(F.struct("size", "reach")).alias("partners"), F.sum("k").alias("n"))
+    partners = scratch.save(partners)
+    met = spread_join(known, partners.select("cluster", "partners"), "cluster", partners, known.count())
+    return met.where(F.expr("exists(partners, p -> p.size <= most AND p.reach >= n_shingles)")).select("node", "cluster", "class")
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
     """(node, text) of nodes(node, rep, digest); if doc_ids repeat, the text is one whose set has the digest."""
     found = nodes.withColumnRenamed("rep", "doc_id").join(docs, "doc_id").select("node", "digest", "text")
@@ -194,7 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     bound = agreement_bound(bands * rows, percent)
     slim = scratch.save(sketch(docs, words, bands, rows))
     named = slim.where("doc_id IS NOT NULL")
-    same = named.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
+    same = named.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     reps = scratch.save(same.withColumn("node", F.monotonically_increasing_id()))  # written, so a node keeps its number
 
     keys = band_keys(reps, bands, rows)
@@ -224,7 +259,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     if mixed.limit(1).count():
         left = scratch.save(spread_join(classed, mixed.select("key"), "key", mixed, classed.count()))
         clusters = components(left.select(F.col("node").alias("u"), F.col("least").alias("v")), scratch).withColumnRenamed("root", "cluster")
-        members = scratch.save(clusters.join(left.select("node", "class").distinct(), "node"))
+        members = clusters.join(left.select("node", "class").distinct(), "node").join(reps.select("node", "n_shingles"), "node")
+        members = scratch.save(_linkable(scratch.save(members), texts, words, percent, scratch))
         parts_of = members.groupBy("cluster", "class").agg(F.count("*").alias("k"))
         sizes = parts_of.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("m"))
         sizes = scratch.save(sizes.select("cluster", "n", F.col("m.class").alias("largest"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("rows"), F.ceil(F.col("n") / (4 * block)).cast("int").alias("columns")))

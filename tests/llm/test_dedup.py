@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanrank.llm import queries
 from spanrank.llm.common import Scratch
 from spanrank.llm.components import components
-from spanrank.llm.minhash_dedup import agreement_bound, near_duplicates
+from spanrank.llm.minhash_dedup import _linkable, agreement_bound, near_duplicates
 from spanrank.llm.shingles import MinHash
 from spanrank.llm.suffix_dedup import _collapsed, _halved, multikey_quicksort, remove_repeats
 from tests.conftest import SF
@@ -122,6 +122,24 @@ def test_group_without_its_hub(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_only_linkable_nodes_are_compared_in_blocks(spark):
+    """Edits of words of their own leave most of a cluster without any possible partner; no linked pair is left out."""
+    base = prose(78, 150).split()
+    texts = []
+    for i in range(120):
+        r, w = random.Random(i), list(base)
+        for k in range(i % 12):
+            w[r.randrange(len(w))] = f"edit{i}x{k}" if i % 5 else f"edit{k}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 3) for t in texts]
+    members = spark.createDataFrame([(i, 7, i, len(s)) for i, s in enumerate(sets)], "node long, cluster long, class long, n_shingles long")
+    left = _linkable(members, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 3, 85, Scratch(spark, "t"))
+    got = {r.node for r in left.collect()}
+    linked = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 100 * len(x & y) >= 85 * len(x | y)}
+    assert linked <= got
+    assert len(linked) < 90 and len(got) < 100
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "t")).collect()}
